@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from mandatewatch.catalog import sessions
+from mandatewatch.catalog import graphs, pairing, quality, risk, sessions, similarity, texts
 from mandatewatch.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "sessions"]
+__all__ = ["ORACLES", "QUERIES", "graphs", "pairing", "quality", "risk", "sessions", "similarity", "texts"]
