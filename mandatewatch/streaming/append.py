@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -11,7 +12,8 @@ def start_deduplicated(
     arriving: DataFrame, key: str, time: str, delay: str, out: str, checkpoint: str
 ) -> StreamingQuery:
     """With an event time: state holds ids only as long as the watermark allows."""
-    once = arriving.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    timed = arriving.withColumn(time, F.col(time).cast("timestamp"))
+    once = timed.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
     return (
         once.writeStream.format("parquet")
         .option("path", out)
