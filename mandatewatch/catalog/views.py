@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mandatewatch.functions.text import word_set
+from mandatewatch.plans.sessions import flatten, relabel_benign, with_signals
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -335,15 +338,72 @@ v_taxonomy AS (
 )"""
 
 
-def vector_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Taxonomy entries with a mechanism vector: parts that have an embedding."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), "embedding")
-    return part_taxonomy(spark, sf_dir).join(vectors, "seq")
+def document_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as taxonomy entries, with a vector of their words.
+
+    Each distinct word falls in one of 64 slots by its hash; a slot holds its
+    word count less the mean count. Copies and near copies end up close.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", word_set(F.col("text")).alias("words"))
+    slot = F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int") % 64
+    counts = (
+        docs.repartition("doc_id")
+        .select("doc_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+        .groupBy("doc_id", "n")
+        .agg(*[F.count_if(slot == i).alias(f"s{i}") for i in range(64)])
+    )
+    vector = F.array(*[F.col(f"s{i}") - F.col("n") / F.lit(64.0) for i in range(64)])
+    return docs.drop("words").join(counts.select("doc_id", vector.alias("embedding")), "doc_id").select(
+        F.col("doc_id").alias("seq"), F.col("source").alias("name"), F.col("lang").alias("delivery_vector"),
+        F.col("source").alias("mechanism_type"), "embedding",
+    )
 
 
-V_VECTORS = """
-v_vectors AS (
-  SELECT vec_id AS seq, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label,
-         p_name AS name, p_type AS delivery_vector, p_brand AS mechanism_type
-  FROM embeddings JOIN part ON vec_id = p_partkey
+V_DOC_VECTORS = """
+v_doc_words AS (
+  SELECT doc_id, len(words) AS n, UNNEST(words) AS word
+  FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS words FROM documents)
+),
+v_doc_slots AS (
+  SELECT doc_id, n, CAST('0x' || substr(md5(word), 1, 2) AS INTEGER) % 64 AS slot, COUNT(*) AS c FROM v_doc_words GROUP BY ALL
+),
+v_vectors AS MATERIALIZED (
+  SELECT d.doc_id AS seq, lang AS delivery_vector, source AS mechanism_type, vec
+  FROM documents d JOIN (
+    SELECT k.doc_id, list(COALESCE(c, 0) - k.n / 64.0::DOUBLE ORDER BY i) AS vec
+    FROM (SELECT DISTINCT doc_id, n, i FROM v_doc_slots, range(64) r(i)) k
+    LEFT JOIN v_doc_slots s ON s.doc_id = k.doc_id AND s.slot = k.i GROUP BY k.doc_id
+  ) USING (doc_id)
 )"""
+
+
+def joined_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored, flattened sessions with the columns of their own transaction."""
+    rows = with_signals(session_source(spark, sf_dir))
+    flat = flatten(rows, "subtlety", "TransactionID", "total_price", "priority_code")
+    return flat.withColumn("subtlety", relabel_benign(F.col("subtlety"))).withColumnsRenamed(
+        {"total_price": "TransactionAmt", "priority_code": "ProductCD"}
+    )
+
+
+def line_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as transactions; returned ones count as fraud."""
+    return session_source(spark, sf_dir).select(
+        F.xxhash64("agent_id").alias("TransactionID"),
+        (F.size("mandate_scope.merchant_allowlist") == 1).cast("int").alias("isFraud"),
+        F.col("total_price").alias("TransactionAmt"),
+        F.col("priority_code").alias("ProductCD"),
+    )
+
+
+def session_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One harder variant of every hijacked session: just above the cap."""
+    near_cap = F.ceil(F.col("mandate_scope.amount_cap") * 1.3).cast("string")
+    return (
+        sessions(spark, sf_dir)
+        .filter("injection_present")
+        .withColumn("base_agent_id", F.col("agent_id"))
+        .withColumn("agent_id", F.concat(F.lit("variant-"), "agent_id"))
+        .withColumn("signed_artifact_text", F.concat("raw_utterance", F.lit(", total INR "), near_cap))
+        .withColumn("subtlety", F.lit("subtle"))
+    )

@@ -123,10 +123,11 @@ def stratified_split(
 def zip_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str, seed: int | str) -> DataFrame:
     """Pair row k of one table with row k of the other, both in seeded hash order.
 
-    The pairing is a fabricated one: no key relates the two tables.
+    The pairing is a fabricated one: no key relates the two tables. Every left
+    row is kept; it stays unpaired if the right table is too short.
     """
     return hash_rank(left, left_key, seed, rank="pair_rank").join(
-        hash_rank(right, right_key, seed, rank="pair_rank"), "pair_rank"
+        hash_rank(right, right_key, seed, rank="pair_rank"), "pair_rank", "left"
     )
 
 

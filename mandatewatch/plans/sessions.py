@@ -27,8 +27,8 @@ def with_signals(sessions: DataFrame, semantic: str | None = None) -> DataFrame:
     )
 
 
-def flatten(sessions: DataFrame) -> DataFrame:
-    """The 13 training columns of a session; texts, expiry and hash are left out."""
+def flatten(sessions: DataFrame, *extra: str) -> DataFrame:
+    """The 13 training columns of a session (texts, expiry and hash are left out) and ``extra`` ones."""
     return sessions.select(
         "agent_id",
         "agent_registry_status",
@@ -43,6 +43,7 @@ def flatten(sessions: DataFrame) -> DataFrame:
         "hops_since_intent",
         "tool_calls_made",
         "injection_present",
+        *extra,
     )
 
 
