@@ -130,8 +130,9 @@ def first_non_empty(*texts: Column) -> Column:
 
 def quoted(text: Column) -> Column:
     """The text in quotes, as a Python string literal shows it."""
-    body = F.regexp_replace(text, r"\\", r"\\\\\\\\")
-    body = F.replace(F.replace(F.replace(body, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t")), F.lit("\r"), F.lit("\\r"))
+    body = text
+    for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        body = F.replace(body, F.lit(raw), F.lit(shown))
     single, double = text.contains("'"), text.contains('"')
     escaped = F.replace(body, F.lit("'"), F.lit("\\'"))
     return F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(

@@ -1,0 +1,174 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from hand_sessions import all_sessions, row
+from mandatewatch import schemas
+from mandatewatch.functions import scoring
+from mandatewatch.operators.ranking import latest_by_key
+from mandatewatch.plans import fusion
+from mandatewatch.plans import sessions as plans
+from mandatewatch.runtime import scratch_path
+from mandatewatch.sources import readers, writers
+from mandatewatch.streaming.append import start_append_by_id, start_deduplicated
+from mandatewatch.streaming.scoring import start_scoring
+
+
+def test_risk_levels(spark):
+    cases = [(True, 0.01, 0.0, "HIGH"), (False, 0.6, 0.0, "HIGH"), (False, 0.2, 0.0, "MEDIUM"), (False, 0.0, 0.2, "MEDIUM"), (False, 0.01, 0.01, "LOW")]
+    frame = spark.createDataFrame(cases, "f boolean, s double, c double, want string")
+    rows = frame.select(scoring.risk_level(F.col("f"), F.col("s"), F.col("c")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in rows)
+
+
+def test_verdict_consistency(spark):
+    cases = [
+        ("LOW", False, 0.0, 0.0, 0.0, True), ("HIGH", False, 0.0, 0.0, 0.0, False), ("HIGH", True, 0.9, 0.9, 0.9, True),
+        ("LOW", True, 0.9, 0.9, 0.9, False), ("LOW", True, 0.0, 0.0, None, True), ("MEDIUM", True, 0.0, 0.0, None, True),
+    ]
+    frame = spark.createDataFrame(cases, "l string, f boolean, m double, c double, g double, want boolean")
+    got = frame.select(scoring.verdict_consistent(*[F.col(c) for c in "lfmcg"]).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    rows = all_sessions(spark)
+    model = rows.select("agent_id", F.when(F.col("injection_present"), 0.30005).otherwise(0.01).alias("prob"))
+    merchants = spark.createDataFrame([("netflix.com", 0.2)], "domain string, prob double")
+    return rows, model, merchants
+
+
+def test_payloads_conform_and_keep_nulls(scored):
+    out = fusion.risk_payloads(*scored).select(scoring.payload_json(F.col("payload")).alias("j"))
+    checked = out.select("j", scoring.payload_violations(F.col("j")).alias("v")).collect()
+    assert len(checked) == 10 and all(r["v"] == [] for r in checked)
+    by_id = {p["agent_id"]: p for p in (json.loads(r["j"]) for r in checked)}
+    assert by_id["clean-0"]["contributing_signals"]["gnn_prob"] is None
+    assert by_id["clean-3"]["session_risk_score"] == 0.2 and by_id["clean-3"]["risk_level"] == "MEDIUM"
+    assert by_id["hijacked-1"]["risk_level"] == "HIGH" and by_id["clean-1"]["risk_level"] == "LOW"
+
+
+def test_payload_violations_are_named(spark):
+    good = {"schema_version": "1.0", "agent_id": "a", "intent_artifact_hash": "h", "session_risk_score": 0.5, "risk_level": "LOW",
+            "contributing_signals": {"rules_flagged": False, "rules_reasons": [], "lightgbm_prob": 0.5, "content_score": 0.0, "gnn_prob": None}}
+    no_key = json.loads(json.dumps(good))
+    del no_key["contributing_signals"]["gnn_prob"]
+    lines = [good, {**good, "session_risk_score": 1.5}, {**good, "risk_level": "SEVERE"}, {**good, "session_risk_score": "x"}, no_key]
+    frame = spark.createDataFrame([(json.dumps(p),) for p in lines], "j string")
+    got = [r[0] for r in frame.select(scoring.payload_violations(F.col("j"))).collect()]
+    assert got[:3] == [[], ["session_risk_score"], ["risk_level"]] and "session_risk_score" in got[3] and got[4] == ["gnn_prob"]
+
+
+def test_session_index_has_all_signals(scored):
+    rows = {r["agent_id"]: r for r in fusion.session_index(*scored).collect()}
+    assert len(rows) == 10 and len(rows["clean-0"]["signals"]) == 8
+    bad = rows["hijacked-0"]["signals"]
+    assert bad["rules_flagged"] and bad["constraint_drift"] == 1.0 and bad["content_score"] == 1.0 and bad["gnn_prob"] is None
+
+
+def test_absent_files_are_empty_tables(spark):
+    assert readers.read_sessions(spark, "/nonexistent/sessions.json").count() == 0
+    assert readers.read_mutation_rounds(spark, "/nonexistent/rounds.json").count() == 0
+
+
+def test_session_files_round_trip(spark, tmp_path):
+    rows = all_sessions(spark)
+    writers.write_sessions_json(rows, str(tmp_path / "s"))
+    again = readers.read_sessions(spark, str(tmp_path / "s"))
+    key = lambda r: r["agent_id"]
+    assert sorted(again.collect(), key=key) == sorted(rows.collect(), key=key)
+    cache = tmp_path / "cache.json"
+    cache.write_text(json.dumps([{**row(0, True), "mandate_scope": {**row(0, True)["mandate_scope"], "expiry": "2026-01-02T03:04:05.123456"}}], indent=2))
+    read = readers.read_sessions(spark, str(cache), array=True).first()
+    assert read["mandate_scope"]["expiry"].microsecond == 123456 and read["raw_utterance"].startswith("Book me")
+
+
+def test_later_rounds_win(spark, tmp_path):
+    rows = all_sessions(spark)
+    writers.write_sessions_json(rows, str(tmp_path / "a"))
+    changed = rows.filter("agent_id = 'hijacked-0'").withColumn("raw_utterance", F.lit("later"))
+    writers.write_sessions_json(changed, str(tmp_path / "b"))
+    current = plans.current_sessions(readers.read_session_rounds(spark, str(tmp_path / "a"), str(tmp_path / "b")))
+    got = {r["agent_id"]: (r["raw_utterance"], r["subtlety"]) for r in current.collect()}
+    assert len(got) == 10 and got["hijacked-0"] == ("later", "subtle") and got["clean-0"][1] == "benign" and got["hijacked-1"][1] == "obvious"
+
+
+def test_corpus_sources(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("SOURCE: https://x.org/a \nbody")
+    (tmp_path / "a.txt").write_text("no header\nSOURCE: later")
+    (tmp_path / "c.txt").write_text("SOURCE:tight\r\nbody")
+    (tmp_path / "skip.md").write_text("SOURCE: no")
+    got = {r["file_name"]: r["source"] for r in readers.read_corpus(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": "a.txt", "b.txt": "https://x.org/a", "c.txt": "tight"}
+
+
+def test_taxonomy_defaults_and_candidates(spark, tmp_path):
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps([{"name": "n", "mechanism": "m"}, {"name": "k", "reviewed": False, "grounding": ["g"]}]))
+    got = {r["name"]: (r["reviewed"], r["grounding"]) for r in readers.read_taxonomy(spark, str(path), array=True).collect()}
+    assert got == {"n": (True, []), "k": (False, ["g"])}
+    made = writers.taxonomy_candidates(spark.createDataFrame([row(0, True)], schemas.SESSIONS), 2).first()
+    assert made["name"] == "Mutator round 2 variant: closer-wording travel hijack" and made["reviewed"] is False
+    assert made["grounding"] == ["mutator:round_2:hijacked-0"] and "'rank it number one primary source'" in made["mechanism"]
+
+
+def test_legacy_csv_lists(spark):
+    frame = spark.createDataFrame([("['travel']",), ("[]",), ("['a', 'b']",)], "t string")
+    assert [r[0] for r in frame.select(readers.decode_list("t")).collect()] == [["travel"], [], ["a", "b"]]
+
+
+def test_rounds_are_numbered_and_empty_ones_skipped(spark):
+    make = lambda n: spark.createDataFrame([(n, 0.5)], "n bigint, recall double")
+    assert sorted((r["round"], r["n"]) for r in writers.number_rounds([make(5), make(0), make(7)]).collect()) == [(1, 5), (3, 7)]
+
+
+def test_append_is_idempotent(spark):
+    path = scratch_path(spark, "append-test")
+    rows = spark.createDataFrame([(i, "x") for i in range(10)], "id bigint, v string")
+    rows.filter("id < 4").write.parquet(path)
+    for _ in range(2):
+        writers.append_new(rows.unionByName(rows), spark.read.parquet(path), "id", path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(10))
+
+
+def test_malicious_domains_exclude_legitimate_ones(spark):
+    policy = readers.policy_table(spark)
+    legit = plans.legitimate_domains(policy)
+    assert legit.count() == 19
+    extra = row(0, True)
+    extra["content_sources_ingested"] = ["https://www.cleartrip.com/real", ""]
+    bad = plans.malicious_domains(all_sessions(spark).unionByName(spark.createDataFrame([extra], schemas.SESSIONS)), legit)
+    names = {r["domain"] for r in bad.collect()}
+    assert "cleartrip.com" not in names and "" not in names and "ad-network-x.com" in names and len(names) == 6
+    assert bad.intersect(legit).isEmpty()
+
+
+def test_streamed_payloads_equal_batch(spark, scored, tmp_path):
+    rows, model, merchants = scored
+    for i in range(2):
+        rows.filter(F.col("injection_present") == bool(i)).write.parquet(str(tmp_path / "in"), mode="append")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start_scoring(arriving, model, merchants, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    key = lambda r: r["agent_id"]
+    assert sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=key) == sorted(fusion.risk_payloads(rows, model, merchants).collect(), key=key)
+
+
+@pytest.mark.parametrize("with_time", [True, False])
+def test_streamed_append_keeps_one_row_per_id(spark, tmp_path, with_time):
+    frame = spark.range(40).select((F.col("id") % 10).alias("id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 10).alias("ts"))
+    frame.repartition(4).write.parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    query = start_deduplicated(arriving, "id", "ts", "1 hour", out, state) if with_time else start_append_by_id(arriving, "id", out, state)
+    query.awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(10))
+
+
+def test_session_list_filters(scored):
+    index = fusion.session_index(*scored)
+    assert plans.filter_sessions(index).count() == 10
+    assert plans.filter_sessions(index, rules="clean").count() == 5
+    assert plans.filter_sessions(index, subtlety="obvious", category="travel", rules="flagged").count() == 5
+    assert latest_by_key(index.select("agent_id", "subtlety"), "agent_id", ["subtlety"]).count() == 10
