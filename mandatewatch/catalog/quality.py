@@ -78,10 +78,7 @@ def content_auc(spark, sf_dir):
     """,
 )
 def content_calibration(spark, sf_dir):
-    rows = labelled_documents(spark, sf_dir)
-    brier = metrics.brier_score(rows, "content_score", "quality").withColumn("one", F.lit(1))
-    ece = metrics.expected_calibration_error(rows, "content_score", "quality").withColumn("one", F.lit(1))
-    return rounded(brier.join(ece, "one").drop("one"), "brier", "ece")
+    return rounded(metrics.calibration(labelled_documents(spark, sf_dir), "content_score", "quality"), "brier", "ece")
 
 
 @query(
@@ -94,7 +91,7 @@ def content_calibration(spark, sf_dir):
 )
 def calibration_bins(spark, sf_dir):
     bins = metrics.calibration_bins(v.scored_sessions(spark, sf_dir), "prob", "label")
-    return rounded(bins, "mean_confidence", "observed_rate")
+    return rounded(bins.drop("squared_error"), "mean_confidence", "observed_rate")
 
 
 @query(

@@ -103,13 +103,12 @@ def test_confusion_divides_by_zero_as_zero(spark):
 
 def test_calibration_numbers(spark):
     half = spark.createDataFrame([(0.5, i % 2) for i in range(10)], "c double, o int")
-    assert metrics.brier_score(half, "c", "o").first()["brier"] == 0.25
-    assert metrics.expected_calibration_error(half, "c", "o").first()["ece"] == pytest.approx(0.0)
+    got = metrics.calibration(half, "c", "o").first()
+    assert got["brier"] == 0.25 and got["ece"] == pytest.approx(0.0)
     top = spark.createDataFrame([(1.0, 1), (0.95, 1)], "c double, o int")
     assert [r["bin"] for r in metrics.calibration_bins(top, "c", "o").collect()] == [9]
-    empty = half.limit(0)
-    assert metrics.brier_score(empty, "c", "o").first()["brier"] == 0.0
-    assert metrics.expected_calibration_error(empty, "c", "o").first()["ece"] == 0.0
+    empty = metrics.calibration(half.limit(0), "c", "o").first()
+    assert (empty["brier"], empty["ece"]) == (0.0, 0.0)
 
 
 def test_latency_picks_sorted_elements(spark):
