@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mandatewatch.catalog import views as v
 from mandatewatch.catalog.registry import query
 from mandatewatch.catalog.texts import V_CONTENT, document_scores
-from mandatewatch.functions.policy import session_rule_reasons, session_source_trust
+from mandatewatch.functions.policy import session_flagged, session_source_trust
 from mandatewatch.functions.scoring import gate_reading, verdict_consistent
 from mandatewatch.operators import metrics
 from mandatewatch.plans.fusion import attach_scores, metrics_table
@@ -223,7 +223,7 @@ def verdict_consistency(spark, sf_dir):
     level = F.when(F.col("priority_code") < "3", "HIGH").when(F.col("priority_code") < "5", "MEDIUM").otherwise("LOW")
     scored = attach_scores(source, v.model_scores(source), v.merchant_scores(spark, sf_dir)).filter("model_prob is not null")
     rows = scored.select(
-        level.alias("level"), (F.size(session_rule_reasons()) > 0).alias("flagged"), "model_prob",
+        level.alias("level"), session_flagged().alias("flagged"), "model_prob",
         session_source_trust().alias("content"), "merchant_prob",
     )
     ok = verdict_consistent(F.col("level"), F.col("flagged"), F.col("model_prob"), F.col("content"), F.col("merchant_prob"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from mandatewatch import schemas
 from mandatewatch.catalog import views as v
 from mandatewatch.catalog.registry import query
-from mandatewatch.functions.policy import session_drift, session_rule_reasons, session_source_trust
+from mandatewatch.functions.policy import domains, session_drift, session_flagged, session_rule_reasons, session_source_trust, with_parsed
 from mandatewatch.functions.scoring import predicted
-from mandatewatch.functions.text import artifact_hash, largest_inr_amount, phrase_overlap, quoted_list, url_domain
+from mandatewatch.functions.text import artifact_hash, phrase_overlap, quoted_list, url_domain
 from mandatewatch.operators.similar_names import domain_pairs, edit_similarity, typosquat_scores
 from mandatewatch.operators.ranking import first_per_group
 from mandatewatch.plans.sessions import current_sessions, filter_sessions, flatten, relabel_benign, with_signals
@@ -34,8 +34,8 @@ def joined(values):
     """,
 )
 def rule_hit_rates(spark, sf_dir):
-    flagged = F.size(session_rule_reasons()) > 0
-    rows = v.sessions(spark, sf_dir).select(relabel_benign(F.col("subtlety")).alias("subtlety"), flagged.alias("flagged"))
+    parsed = with_parsed(v.sessions(spark, sf_dir))
+    rows = parsed.select(relabel_benign(F.col("subtlety")).alias("subtlety"), session_flagged().alias("flagged"))
     return rows.groupBy("subtlety").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("flagged").alias("flagged"),
@@ -51,10 +51,10 @@ def rule_hit_rates(spark, sf_dir):
     """,
 )
 def session_signals(spark, sf_dir):
-    return v.sessions(spark, sf_dir).select(
+    return with_parsed(v.sessions(spark, sf_dir)).select(
         "agent_id",
-        largest_inr_amount(F.col("signed_artifact_text")).alias("amount"),
-        url_domain(F.col("task_origin_url")).alias("origin_domain"),
+        F.col("signed_amount").alias("amount"),
+        "origin_domain",
         session_drift().alias("constraint_drift"),
         session_source_trust().alias("ingestion_source_trust_score"),
     )
@@ -68,7 +68,7 @@ def session_signals(spark, sf_dir):
     """,
 )
 def rule_reasons(spark, sf_dir):
-    rows = v.sessions(spark, sf_dir).select("agent_id", session_rule_reasons().alias("reasons"))
+    rows = with_parsed(v.sessions(spark, sf_dir)).select("agent_id", session_rule_reasons().alias("reasons"))
     return rows.select("agent_id", (F.size("reasons") > 0).alias("flagged"), joined("reasons").alias("reasons"))
 
 
@@ -81,8 +81,8 @@ def rule_reasons(spark, sf_dir):
     """,
 )
 def first_flagged_sessions(spark, sf_dir):
-    rows = v.sessions(spark, sf_dir).select("agent_id", "subtlety", session_rule_reasons().alias("reasons"))
-    return rows.filter(F.size("reasons") > 0).orderBy("agent_id").limit(3).withColumn("reasons", joined("reasons"))
+    flagged = with_parsed(v.sessions(spark, sf_dir)).filter(session_flagged()).orderBy("agent_id").limit(3)
+    return flagged.select("agent_id", "subtlety", joined(session_rule_reasons()).alias("reasons"))
 
 
 @query(
@@ -140,12 +140,12 @@ def payload_sessions(spark, sf_dir):
     """,
 )
 def session_list_filters(spark, sf_dir):
-    rows = v.sessions(spark, sf_dir)
+    rows = with_parsed(v.sessions(spark, sf_dir))
     index = rows.select(
         "agent_id",
         F.get("mandate_scope.categories", 0).alias("category"),
         "subtlety",
-        F.struct((F.size(session_rule_reasons()) > 0).alias("rules_flagged")).alias("signals"),
+        F.struct(session_flagged().alias("rules_flagged")).alias("signals"),
     )
     return filter_sessions(index, "subtle", "PROMO", "flagged").select("agent_id", "category", "subtlety")
 
@@ -158,8 +158,8 @@ def session_list_filters(spark, sf_dir):
     """,
 )
 def session_filter_counts(spark, sf_dir):
-    rows = v.sessions(spark, sf_dir).select(
-        F.get("mandate_scope.categories", 0).alias("category"), "subtlety", (F.size(session_rule_reasons()) > 0).alias("flagged")
+    rows = with_parsed(v.sessions(spark, sf_dir)).select(
+        F.get("mandate_scope.categories", 0).alias("category"), "subtlety", session_flagged().alias("flagged")
     )
     return rows.groupBy("category", "subtlety", "flagged").agg(F.count(F.lit(1)).alias("n"))
 
@@ -219,7 +219,7 @@ def typosquat_similarity(spark, sf_dir):
     rows = v.sessions(spark, sf_dir).select(
         "agent_id",
         url_domain(F.col("task_origin_url")).alias("domain"),
-        F.transform("mandate_scope.merchant_allowlist", url_domain).alias("allowlist"),
+        domains(F.col("mandate_scope.merchant_allowlist")).alias("allowlist"),
     )
     return typosquat_scores(rows, "agent_id", "domain", "allowlist")
 

@@ -45,7 +45,7 @@ def session_divergence(spark, sf_dir):
     + " SELECT doc_id, round(lexical_divergence, 6) AS lexical_divergence FROM v_div",
 )
 def document_divergence(spark, sf_dir):
-    docs = v.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = v.documents(spark, sf_dir, "doc_id", "text")
     following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"))
     rows = pair_divergence(docs.join(following, "doc_id"), "doc_id", "text", "next_text")
     return rows.filter("lexical_divergence is not null").withColumn("lexical_divergence", F.round("lexical_divergence", 6))
@@ -104,13 +104,13 @@ def neighbour_cosine(spark, sf_dir):
     """,
 )
 def document_words(spark, sf_dir):
-    docs = v.table(spark, sf_dir, "documents").select("doc_id", word_set(F.col("text")).alias("words"))
+    docs = v.documents(spark, sf_dir, "doc_id", "text").select("doc_id", word_set(F.col("text")).alias("words"))
     return docs.select("doc_id", F.size("words").alias("n_words"), F.md5(F.array_join(F.array_sort("words"), " ")).alias("words_md5"))
 
 
 def document_scores(spark, sf_dir):
     """Best overlap of every document with the benchmark passages."""
-    docs = v.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = v.documents(spark, sf_dir, "doc_id", "text")
     return content_scores(docs, "doc_id", "text", v.table(spark, sf_dir, "benchmark"), "text")
 
 
@@ -138,10 +138,10 @@ def document_content_scores(spark, sf_dir):
     """,
 )
 def fixed_chunks(spark, sf_dir):
-    chunks = window_chunks(v.table(spark, sf_dir, "documents"), "doc_id", "text")
+    chunks = window_chunks(v.documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
     return chunks.select("doc_id", "pos", F.md5("text").alias("text_md5"))
 
 
 @query("recursive_chunks")
 def separator_chunks(spark, sf_dir):
-    return recursive_chunks(v.table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    return recursive_chunks(v.documents(spark, sf_dir, "doc_id", "source", "text"), "doc_id", "source", "text")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mandatewatch.functions.text import word_set
 from mandatewatch.plans.sessions import flatten, relabel_benign, with_signals
+from mandatewatch.runtime import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +73,10 @@ def session_rows(lineitem: DataFrame, part: DataFrame, orders: DataFrame) -> Dat
     )
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 LINE_COLUMNS = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount",
     "l_returnflag", "l_linestatus", "l_shipdate",
@@ -80,7 +85,7 @@ LINE_COLUMNS = [
 
 def session_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_rows(
-        table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS),
+        spread(table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS)),
         table(spark, sf_dir, "part"),
         table(spark, sf_dir, "orders"),
     )
@@ -338,24 +343,36 @@ v_taxonomy AS (
 )"""
 
 
+SLOTS = 64
+
+
 def document_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as taxonomy entries, with a vector of their words.
 
     Each distinct word falls in one of 64 slots by its hash; a slot holds its
     word count less the mean count. Copies and near copies end up close.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", word_set(F.col("text")).alias("words"))
-    slot = F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int") % 64
+    docs = documents(spark, sf_dir, "doc_id", "lang", "source", "text").select(
+        "doc_id", "lang", "source", word_set(F.col("text")).alias("words")
+    )
+    slot = F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int") % SLOTS
     counts = (
         docs.repartition("doc_id")
-        .select("doc_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-        .groupBy("doc_id", "n")
-        .agg(*[F.count_if(slot == i).alias(f"s{i}") for i in range(64)])
+        .select("doc_id", "lang", "source", F.size("words").alias("n"), F.explode("words").alias("word"))
+        .groupBy("doc_id", "lang", "source", "n", slot.alias("slot"))
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    # At most one entry per slot.
+    filled = counts.groupBy("doc_id", "lang", "source", "n").agg(
+        F.map_from_entries(F.collect_list(F.struct("slot", "c"))).alias("slots")
+    )
+    vector = F.transform(
+        F.sequence(F.lit(0), F.lit(SLOTS - 1)),
+        lambda i: F.coalesce(F.try_element_at("slots", i), F.lit(0)) - F.col("n") / F.lit(float(SLOTS)),
     )
-    vector = F.array(*[F.col(f"s{i}") - F.col("n") / F.lit(64.0) for i in range(64)])
-    return docs.drop("words").join(counts.select("doc_id", vector.alias("embedding")), "doc_id").select(
+    return filled.select(
         F.col("doc_id").alias("seq"), F.col("source").alias("name"), F.col("lang").alias("delivery_vector"),
-        F.col("source").alias("mechanism_type"), "embedding",
+        F.col("source").alias("mechanism_type"), vector.alias("embedding"),
     )
 
 

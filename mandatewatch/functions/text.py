@@ -20,11 +20,10 @@ SINGLE_SIDE_IDF = math.log(1.5) + 1.0
 
 def url_domain(url: Column) -> Column:
     """Lower-cased network location without one leading ``www.``."""
-    clean = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
-    located = F.regexp_extract(clean, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1)
-    bare = F.regexp_extract(clean, r"^([^/?#]*)", 1)
-    netloc = F.when(F.length(located) > 0, located).otherwise(bare)
-    return F.regexp_replace(F.lower(netloc), r"^www\.", "")
+    clean = F.when(url.rlike(r"[\x00-\x20]"), F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")).otherwise(url)
+    # After an optional scheme and a double slash if a host follows, else from the start.
+    netloc = F.lower(F.regexp_extract(clean, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?=[^/?#]))?([^/?#]*)", 1))
+    return F.when(netloc.startswith("www."), F.substr(netloc, F.lit(5))).otherwise(netloc)
 
 
 def largest_inr_amount(text: Column) -> Column:
@@ -55,13 +54,10 @@ def phrase_overlap(text: Column, phrases: Sequence[str]) -> Column:
     The phrases become literals, so the score is a plain expression: no join,
     no shuffle. For a phrase *table* use ``operators.phrase_match``.
     """
+    words = F.coalesce(word_set(text), F.array().cast("array<string>"))
     token_lists = [sorted(set(re.findall(WORD_PATTERN, phrase.lower()))) for phrase in phrases]
-
-    def best(words):
-        scores = [jaccard(words, F.array(*[F.lit(w) for w in tokens])) for tokens in token_lists if tokens]
-        return F.greatest(F.lit(0.0), F.lit(0.0), *scores)
-
-    return bound(F.coalesce(word_set(text), F.array().cast("array<string>")), best)
+    scores = [jaccard(words, F.array(*[F.lit(w) for w in tokens])) for tokens in token_lists if tokens]
+    return F.greatest(F.lit(0.0), F.lit(0.0), *scores)
 
 
 def bound(value: Column, body) -> Column:
@@ -85,13 +81,7 @@ def divergence_from_sums(dot: Column, left: Column, right: Column) -> Column:
     )
 
 
-def lexical_divergence(utterance: Column, artifact: Column) -> Column:
-    """1 - TF-IDF cosine of two short texts, the idf fitted on just these two.
-
-    Row-local, so it suits utterances and signed intents. Cost is quadratic in
-    the words of one row: long texts go through ``operators.text_pairs``.
-    """
-
+def _counted_divergence(utterance_terms: Column, artifact_terms: Column) -> Column:
     def from_terms(t):
         a, b, da, db = t["a"], t["b"], t["da"], t["db"]
         dot = F.aggregate(
@@ -108,7 +98,23 @@ def lexical_divergence(utterance: Column, artifact: Column) -> Column:
         )
         return bound(both, from_terms)
 
-    return bound(F.struct(terms(utterance).alias("a"), terms(artifact).alias("b")), with_distinct)
+    return bound(F.struct(utterance_terms.alias("a"), artifact_terms.alias("b")), with_distinct)
+
+
+def lexical_divergence(utterance: Column, artifact: Column) -> Column:
+    """1 - TF-IDF cosine of two short texts, the idf fitted on just these two.
+
+    Row-local, so it suits utterances and signed intents. Cost is quadratic in
+    the words of a row that repeats some: long texts go through ``operators.text_pairs``.
+    """
+
+    a, b = terms(utterance), terms(artifact)
+    da, db = F.array_distinct(a), F.array_distinct(b)
+    # Without repeated terms every count is 1 and the sums follow from set sizes.
+    shared = F.size(F.array_intersect(da, db)).cast("double")
+    single = F.lit(SINGLE_SIDE_IDF * SINGLE_SIDE_IDF)
+    plain = divergence_from_sums(shared, shared + (F.size(a) - shared) * single, shared + (F.size(b) - shared) * single)
+    return F.when((F.size(a) == F.size(da)) & (F.size(b) == F.size(db)), plain).otherwise(_counted_divergence(a, b))
 
 
 def blended_divergence(

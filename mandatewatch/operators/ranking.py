@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mandatewatch.runtime import cut_lineage
+
 RANK_BUCKET_DIGITS = 3
 PREFIX_BUCKETS = 64
 
@@ -54,8 +56,10 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: str, totals: Sequence[s
     """Sum of each total over the rows with a smaller order value, per group.
 
     Expects one row per (group, order value). Order values are cut at their
-    approximate quantiles; only the values of one range meet in one task.
+    approximate quantiles; only the values of one range meet in one task. The
+    rows are read three times, so they are checkpointed first.
     """
+    df = cut_lineage(df)
     shares = [i / PREFIX_BUCKETS for i in range(1, PREFIX_BUCKETS)]
     edges = df.agg(F.percentile_approx(order, shares, 1000)).scalar()
     bucketed = df.withColumn("_edges", edges).withColumn(

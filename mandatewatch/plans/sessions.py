@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mandatewatch.functions.policy import session_drift, session_source_trust
+from mandatewatch.functions.policy import PARSED, session_drift, session_source_trust, with_parsed
 from mandatewatch.functions.text import blended_divergence, lexical_divergence, url_domain
 from mandatewatch.operators.ranking import latest_by_key, zip_join
 
@@ -18,13 +18,16 @@ def with_signals(sessions: DataFrame, semantic: str | None = None) -> DataFrame:
     """Fills the three session signals; ``semantic`` names a column with a semantic divergence."""
     lexical = lexical_divergence(F.col("raw_utterance"), F.col("signed_artifact_text"))
     meaning = F.col(semantic) if semantic else F.lit(None).cast("double")
-    return sessions.withColumns(
+    present = set(PARSED) <= set(sessions.columns)
+    parsed = sessions if present else with_parsed(sessions)
+    signals = parsed.withColumns(
         {
             "utterance_artifact_divergence": blended_divergence(lexical, meaning),
             "constraint_drift": session_drift(),
             "ingestion_source_trust_score": session_source_trust(),
         }
     )
+    return signals if present else signals.drop(*PARSED)
 
 
 def flatten(sessions: DataFrame, *extra: str) -> DataFrame:

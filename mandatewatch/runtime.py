@@ -28,6 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads an input with fewer splits than cores, such as one small file.
+
+    Large inputs have more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of any executor."""
     shared_dir(df.sparkSession)

@@ -52,7 +52,7 @@ def test_domains_agree_with_urllib(spark):
 
 
 def test_signals_of_hand_written_sessions(spark):
-    rows = all_sessions(spark).select(
+    rows = policy.with_parsed(all_sessions(spark)).select(
         "injection_present",
         policy.session_drift().alias("drift"),
         policy.session_source_trust().alias("trust"),
@@ -70,13 +70,14 @@ def test_signals_of_hand_written_sessions(spark):
 
 
 def test_reason_texts(spark):
-    frame = spark.createDataFrame([row(0, True, "revoked")], schemas.SESSIONS)
+    frame = policy.with_parsed(spark.createDataFrame([row(0, True, "revoked")], schemas.SESSIONS))
     assert frame.select(policy.session_rule_reasons()).first()[0] == [
         "amount cap breached: signed INR 400,000 > cap INR 8,000",
         "task_origin_url domain 'cleartrip-deals-offer.com' not in merchant allowlist ['cleartrip.com', 'makemytrip.com']",
         "agent_registry_status is 'revoked', not 'valid'",
     ]
-    frame = spark.createDataFrame([row(0, False, "revoked")], schemas.SESSIONS)
+    frame = policy.with_parsed(spark.createDataFrame([row(0, False, "revoked")], schemas.SESSIONS))
+    assert frame.select(policy.session_flagged()).first()[0]
     assert len(frame.select(policy.session_rule_reasons()).first()[0]) == 1
 
 
@@ -85,7 +86,8 @@ def test_trust_counts_duplicates_and_empty_sources(spark):
         [(["a.com", "b.com", "b.com"], ["www.A.com"]), ([], ["a.com"]), (None, ["a.com"]), (["a.com"], [])],
         "s array<string>, a array<string>",
     )
-    got = [r[0] for r in frame.select(policy.source_trust(F.col("s"), F.col("a"))).collect()]
+    parsed = frame.select(policy.domains(F.col("s")).alias("s"), policy.domains(F.col("a")).alias("a"))
+    got = [r[0] for r in parsed.select(policy.source_trust(F.col("s"), F.col("a"))).collect()]
     assert got == [pytest.approx(2 / 3), 0.0, 0.0, 1.0]
 
 
