@@ -9,10 +9,11 @@ from mandatewatch.functions import scoring
 from mandatewatch.operators.ranking import latest_by_key
 from mandatewatch.plans import fusion
 from mandatewatch.plans import sessions as plans
+from mandatewatch.plans import training
 from mandatewatch.runtime import scratch_path
 from mandatewatch.sources import readers, writers
 from mandatewatch.streaming.append import start_append_by_id, start_deduplicated
-from mandatewatch.streaming.scoring import start_scoring
+from mandatewatch.streaming.scoring import start_model_scoring, start_scoring
 
 
 def test_risk_levels(spark):
@@ -155,6 +156,19 @@ def test_streamed_payloads_equal_batch(spark, scored, tmp_path):
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=key) == sorted(fusion.risk_payloads(rows, model, merchants).collect(), key=key)
 
 
+def test_model_scores_in_the_stream_equal_batch(spark, tmp_path):
+    rows = all_sessions(spark)
+    scorer = training.session_model(plans.flatten(plans.with_signals(rows)), rounds=2)
+    merchants = spark.createDataFrame([("netflix.com", 0.2)], "domain string, prob double")
+    rows.write.parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    start_model_scoring(arriving, scorer, merchants, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    streamed = {r["agent_id"]: r["payload"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = {r["agent_id"]: r["payload"] for r in fusion.model_payloads(rows, scorer, merchants).collect()}
+    assert streamed == batch and len(batch) == 10
+    assert all(p["contributing_signals"]["lightgbm_prob"] is not None for p in batch.values())
+
+
 @pytest.mark.parametrize("with_time", [True, False])
 def test_streamed_append_keeps_one_row_per_id(spark, tmp_path, with_time):
     frame = spark.range(40).select((F.col("id") % 10).alias("id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 10).alias("ts"))
