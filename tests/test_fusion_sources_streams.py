@@ -125,6 +125,24 @@ def test_rounds_are_numbered_and_empty_ones_skipped(spark):
     assert sorted((r["round"], r["n"]) for r in writers.number_rounds([make(5), make(0), make(7)]).collect()) == [(1, 5), (3, 7)]
 
 
+def test_sinks_write_what_readers_read(spark, scored, tmp_path):
+    rows, model, merchants = scored
+    flat = plans.flatten(plans.with_signals(rows))
+    for _ in range(2):
+        writers.write_joined(flat, str(tmp_path / "joined"))
+    assert sorted(spark.read.parquet(str(tmp_path / "joined")).collect()) == sorted(flat.collect())
+    writers.write_payloads(fusion.risk_payloads(rows, model, merchants), "payload", str(tmp_path / "payloads"))
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "payloads")).collect()]
+    assert len(lines) == 10 and all("gnn_prob" in p["contributing_signals"] for p in lines)
+    rounds = spark.createDataFrame([(1, 5, 0.5, 0.5, 0.5, 0.1, None)], schemas.MUTATION_ROUNDS)
+    writers.write_rounds(rounds, str(tmp_path / "rounds"))
+    assert readers.read_mutation_rounds(spark, str(tmp_path / "rounds")).collect() == rounds.collect()
+    nodes = spark.createDataFrame([("m", "merchant", True, 3)], schemas.GRAPH_NODES)
+    edges = spark.createDataFrame([("m", "A", "uses_acquirer")], schemas.GRAPH_EDGES)
+    writers.write_graph(nodes, edges, str(tmp_path / "graph"))
+    assert spark.read.schema(schemas.GRAPH_NODES).json(str(tmp_path / "graph/nodes")).collect() == nodes.collect()
+
+
 def test_append_is_idempotent(spark):
     path = scratch_path(spark, "append-test")
     rows = spark.createDataFrame([(i, "x") for i in range(10)], "id bigint, v string")
