@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,19 +28,22 @@ def start_deduplicated(
 def start_append_by_id(arriving: DataFrame, key: str, out: str, checkpoint: str) -> StreamingQuery:
     """Without an event time: each batch adds the ids the table does not hold yet.
 
-    A batch writes to a folder of its own, replaced as a whole when the batch is
-    retried, and compares with the folders of the batches before it.
+    A batch writes to a folder of its own, named after the query's checkpoint and
+    the batch number. A retried batch replaces that folder as a whole; a query
+    that starts over with a new checkpoint finds the earlier rows and adds nothing.
     """
+    writer = "w" + hashlib.md5(checkpoint.encode()).hexdigest()
 
     def add_missing(batch: DataFrame, batch_id: int) -> None:
         new = batch.dropDuplicates([key])
         try:
-            stored = batch.sparkSession.read.parquet(out).filter(f"batch < {batch_id}")
-            new = new.join(stored.select(key), key, "left_anti")
+            stored = batch.sparkSession.read.parquet(out)
+            earlier = stored.filter((F.col("writer") != writer) | (F.col("batch") < batch_id))
+            new = new.join(earlier.select(key), key, "left_anti")
         except AnalysisException as error:
             if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-        new.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        new.write.mode("overwrite").parquet(f"{out}/writer={writer}/batch={batch_id}")
 
     return (
         arriving.writeStream.foreachBatch(add_missing)

@@ -198,6 +198,24 @@ def test_streamed_append_keeps_one_row_per_id(spark, tmp_path, with_time):
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(10))
 
 
+def test_append_survives_a_new_checkpoint_and_a_retried_batch(spark, tmp_path):
+    rows = spark.range(10)
+    for part in range(3):
+        rows.filter(F.col("id") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for state, per_batch in (("a", 1), ("b", 10), ("c", 2)):
+        arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(str(tmp_path / "in"))
+        start_append_by_id(arriving, "id", out, str(tmp_path / state)).awaitTermination()
+        assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(10))
+    # The last batch of a query runs again: its commit marker is lost.
+    last = max((tmp_path / "a" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start_append_by_id(arriving, "id", out, str(tmp_path / "a")).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(10))
+
+
 def test_session_list_filters(scored):
     index = fusion.session_index(*scored)
     assert plans.filter_sessions(index).count() == 10
