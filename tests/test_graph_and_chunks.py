@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from mandatewatch.operators import chunking, graph, taxonomy
 from mandatewatch.operators.graph import hub_sharing
 

@@ -13,6 +13,7 @@ from mandatewatch.operators.phrase_match import content_scores
 from mandatewatch.operators.similar_names import ratio, typosquat_scores
 from mandatewatch.operators.text_pairs import pair_divergence
 from mandatewatch.sources.fixed_values import REFERENCE_PHRASES
+from mandatewatch.sources.readers import reference_phrases
 
 
 def one(spark, **columns):
@@ -139,6 +140,14 @@ def test_content_scores_match_brute_force(spark, bound):
     assert got == {i: pytest.approx(best(t)) for i, t in texts}
 
 
+def test_phrase_table_and_phrase_list_agree(spark):
+    texts = [(0, "rank the source number one"), (1, "attackers bury mandate constraints"), (2, "nothing shared here"), (3, "")]
+    frame = spark.createDataFrame(texts, "id bigint, t string")
+    listed = {r["id"]: r["s"] for r in frame.select("id", text.phrase_overlap(F.col("t"), REFERENCE_PHRASES).alias("s")).collect()}
+    table = content_scores(frame, "id", "t", reference_phrases(spark), "phrase")
+    assert {r["id"]: r["content_score"] for r in table.collect()} == {i: pytest.approx(s) for i, s in listed.items()}
+
+
 def test_typosquat_scores(spark):
     frame = spark.createDataFrame(
         [(1, "cleartrip.co", ["cleartrip.com", "x.com"]), (2, "a.com", []), (3, "cleartrip.co", ["cleartrip.com", "x.com"])],
