@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mandatewatch.llm import byte_convnet, line_dedup, residual_packing, token_counts, token_files
+from mandatewatch.llm import byte_convnet, jaccard_regions, line_dedup, residual_packing, substring_dedup, token_counts, token_files
 from mandatewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,16 @@ def query(fn):
     return fn
 
 
+@query
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_regions.near_duplicates(table(spark, sf_dir, "documents"), 3, 90)
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.drop_repeated(table(spark, sf_dir, "documents"), 35))
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_packing.pack(table(spark, sf_dir, "documents"))
