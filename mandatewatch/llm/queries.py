@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mandatewatch.llm import byte_convnet, jaccard_regions, line_dedup, residual_packing, substring_dedup, token_counts, token_files
+from mandatewatch.llm import adaptive_scan, byte_convnet, cover_tree, jaccard_regions, line_dedup, residual_packing, substring_dedup, token_counts, token_files
 from mandatewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,13 @@ def query(fn):
     return fn
 
 
+@query
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = adaptive_scan.search(rows, rows.filter("vec_id % 50 = 0"), 5)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_regions.near_duplicates(table(spark, sf_dir, "documents"), 3, 90)
@@ -38,6 +45,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_shards(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")))
