@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mandatewatch.runtime import scratch_path
@@ -123,5 +123,37 @@ def in_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096, weigh
         yield arrow_rows(held, schema)
 
 
+def edited(docs: DataFrame, key: Column, notes: DataFrame, edit: Callable) -> DataFrame:
+    """The rows of ``docs``, all columns, with ``edit(text, note)`` as text where there is a note.
+
+    ``notes`` has the columns (key, note). Where a text changes and there is a
+    column ``n_chars``, it takes the new length.
+    """
+    schema = docs.schema
+    keyed = docs.withColumn("__key", key)
+    noted = keyed.join(notes.select(F.col("key").alias("__key"), F.col("note").alias("__note")), "__key", "left")
+    text_at = schema.names.index("text")
+    count_at = schema.names.index("n_chars") if "n_chars" in schema.names else None
+
+    def run(batches):
+        for batch in batches:
+            columns = list(batch.columns[:-1])
+            texts, new = columns[text_at].to_pylist(), None
+            counts = columns[count_at].to_pylist() if count_at is not None else None
+            for k, note in enumerate(batch.columns[-1].to_pylist()):
+                if note is not None:
+                    new = new or list(texts)
+                    new[k] = edit(texts[k], note)
+                    if counts is not None and new[k] != texts[k]:
+                        counts[k] = len(new[k])
+            if new is not None:
+                columns[text_at] = pa.array(new, columns[text_at].type)
+                if counts is not None:
+                    columns[count_at] = pa.array(counts, columns[count_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return noted.select(*(F.col(f"`{n}`") for n in schema.names), "__note").mapInArrow(run, schema)
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x

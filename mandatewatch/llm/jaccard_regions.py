@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mandatewatch.llm.common import WORD_IDS, components, grams, in_batches, only_ids, signed, written
@@ -79,20 +79,20 @@ def common_shingles(own: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(own: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, head, histogram) per row: its set's size, id, rarest members and bucket counts."""
+    """(doc_id, text_id, n, node, head, histogram) per row: its set's size, id, rarest members and bucket counts."""
     common, counts = common_shingles(own, n)
     arrow = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("head", pa.list_(pa.int64())), ("histogram", pa.list_(pa.int32()))]
+        [("doc_id", pa.int64()), ("text_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("head", pa.list_(pa.int64())), ("histogram", pa.list_(pa.int32()))]
     )
 
     def run(batches):
         def rows():
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for doc_id, text, text_id in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                     found = shingles(text, n)
                     size = len(found)
                     if not size:
-                        yield doc_id, 0, None, None, None
+                        yield doc_id, text_id, 0, None, None, None
                         continue
                     weight = np.zeros(size, np.int64)
                     if len(common):
@@ -101,11 +101,11 @@ def described(own: DataFrame, n: int, percent: int) -> DataFrame:
                     # One more than the prefix: pairs that share a member there share two among these.
                     head = found[np.argsort(weight, kind="stable")[: prefix_size(size, percent) + 1]]
                     histogram = np.bincount((found & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-                    yield doc_id, size, set_id(found), head.view("i8"), histogram.astype("i4")
+                    yield doc_id, text_id, size, set_id(found), head.view("i8"), histogram.astype("i4")
 
         yield from in_batches(rows(), arrow, 1024)
 
-    return own.mapInArrow(run, "doc_id long, n long, node long, head array<long>, histogram array<int>")
+    return own.withColumn("text_id", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_id long, n long, node long, head array<long>, histogram array<int>")
 
 
 def near_enough(least: Column) -> Column:
@@ -207,14 +207,15 @@ def regions(cells: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per input row.
+    """(doc_id, n_shingles, component_id, text_id, component) per input row.
 
     Two documents are linked if 100 * shared >= percent * united of their
     distinct n-grams of words (white space separates words, A-Z count as a-z).
     ``component_id`` is the smallest doc_id reachable over links. Fewer than
     ``n`` words are one shingle; a null or wordless text has none and no link.
     Rows sharing a doc_id are linked as any others. A null doc_id has a null
-    component and links nobody.
+    component and links nobody. ``text_id`` is xxhash64 of the text, and
+    ``component`` names the group by content, null without shingles or doc_id.
     """
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = written(described(own, n, percent), "described")
@@ -262,8 +263,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     grouped = nodes.select("node", "doc_id").join(labels.withColumnRenamed("id", "node"), "node", "left")
     grouped = written(grouped.select("node", "doc_id", F.coalesce("component", "node").alias("component")), "grouped")
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = written(grouped.join(least, "component").select("node", "component_id"), "named")
-    joined = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
+    named = written(grouped.join(least, "component").select("node", "component_id", "component"), "named")
+    joined = rows.select("doc_id", "text_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
     # Only a row without a shingle stands outside every node.
     own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", own_id.alias("component_id"))
+    group = F.when(F.col("doc_id").isNotNull(), F.col("component"))
+    return joined.select("doc_id", "n_shingles", own_id.alias("component_id"), "text_id", group.alias("component"))
+
+
+def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with one row of each group: that with the smallest doc_id, then text hash.
+
+    Rows without a shingle or without a doc_id are in no group and stay.
+    """
+    found = written(near_duplicates(docs, n, percent).filter("component is not null"), "groups")
+    keepers = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_id")).alias("keeper"))
+    others = found.join(written(keepers, "keepers"), "component").filter(F.struct("doc_id", "text_id") != F.col("keeper"))
+    others = others.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text")).distinct()
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    kept = keyed.join(others, ["__id", "__text"], "left_anti")
+    repeats = found.groupBy("doc_id", "text_id").agg(F.count("*").alias("n")).filter("n > 1")
+    repeats = written(repeats.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text"), F.lit(True).alias("__again")), "repeats")
+    if not repeats.isEmpty():
+        # The same row more than once: the first stays.
+        marked = kept.join(repeats, ["__id", "__text"], "left")
+        order = F.row_number().over(Window.partitionBy("__id", "__text").orderBy(F.lit(0)))
+        kept = marked.withColumn("__n", order).filter("__again is null or __n = 1")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -9,14 +9,12 @@ what is left in order.
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mandatewatch.llm.common import in_batches
+from mandatewatch.llm.common import edited, in_batches
 
 #: Stripped at both ends of a line.
 SPACE = " \t\n\x0b\x0c\r"
@@ -90,10 +88,18 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
     return own.join(repeated_lines(own, min_chars, min_docs), "doc_id", "left").mapInArrow(reassemble, schema)
 
 
+def without_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+    """``docs``, all rows and columns, without the lines that ``drop_repeated_lines`` drops."""
+
+    def edit(text, keys):
+        gone = set(keys)
+        return "\n".join(x for x in lines_of(text) if line_key(x, min_chars) not in gone)
+
+    notes = repeated_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("key"), F.col("keys").alias("note"))
+    return edited(docs, F.col("doc_id").cast("long"), notes, edit)
+
+
 def digest(df: DataFrame) -> DataFrame:
     """The same rows with the SHA-256 of the kept text in its place."""
     return df.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
-
-def plain_digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -27,7 +27,8 @@ def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_regions.near_duplicates(table(spark, sf_dir, "documents"), 3, 90)
+    found = jaccard_regions.near_duplicates(table(spark, sf_dir, "documents"), 3, 90)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query

@@ -20,7 +20,6 @@ words too, after copies are summed, so that no shard gets all of it.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mandatewatch.llm.common import WORD_IDS, grams, in_batches, mixed, only_ids, signed, words_of, written
+from mandatewatch.llm.common import WORD_IDS, edited, grams, in_batches, mixed, only_ids, signed, words_of, written
 from mandatewatch.llm.fm_index import repeated_windows
 
 GRAM = 8
@@ -194,7 +193,12 @@ def repeated_ranges(own: DataFrame, width: int) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "first", "parts")).alias("places"))
 
 
-SPAN = re.compile(rb"[^\x20\x09-\x0D]+")
+def kept_words(words: list[bytes], text: str, places: list[dict]) -> list[bytes]:
+    """The words outside the ranges noted for this text."""
+    identity = text_id(text)
+    spans = [(p["first"] + q["at"], q["edges"]) for p in places if p["text_id"] == identity for q in p["parts"]]
+    gone = covered(spans, len(words))
+    return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
 
 
 def drop_repeated(docs: DataFrame, width: int = 35) -> DataFrame:
@@ -217,12 +221,7 @@ def drop_repeated(docs: DataFrame, width: int = 35) -> DataFrame:
             for batch in batches:
                 for doc_id, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                     words = words_of(text)
-                    kept = words
-                    if found:
-                        identity = text_id(text)
-                        spans = [(p["first"] + q["at"], q["edges"]) for p in found if p["text_id"] == identity for q in p["parts"]]
-                        gone = covered(spans, len(words))
-                        kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                    kept = kept_words(words, text, found) if found else words
                     yield doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode()
 
         yield from in_batches(rows(), out, weigh=lambda r: len(r[3]))
@@ -231,5 +230,22 @@ def drop_repeated(docs: DataFrame, width: int = 35) -> DataFrame:
     return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
+def without_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
+    """``docs``, all rows and columns, without the words that ``drop_repeated`` removes.
+
+    A text that loses words is its kept words joined by one space; others stay as they are.
+    """
+
+    def edit(text, places):
+        words = words_of(text)
+        kept = kept_words(words, text, places)
+        return b" ".join(kept).decode() if len(kept) < len(words) else text
+
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+    own = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    notes = repeated_ranges(own, width).select(F.col("doc_id").alias("key"), F.col("places").alias("note"))
+    return edited(docs, key, notes, edit)
+
+
 def digest(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
