@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mandatewatch.llm import adaptive_scan, byte_convnet, cover_tree, jaccard_regions, line_dedup, residual_packing, substring_dedup, token_counts, token_files
+from mandatewatch.llm import adaptive_scan, byte_convnet, cover_tree, jaccard_regions, line_dedup, piece_lattice, residual_packing, substring_dedup, token_counts, token_files
 from mandatewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+@query
+def op2_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = piece_lattice.Pieces.of(spark, piece_lattice.model_path())
+    return piece_lattice.digests(table(spark, sf_dir, "documents"), pieces)
+
+
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_regions.near_duplicates(table(spark, sf_dir, "documents"), 3, 90)
