@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,22 +65,12 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("id", "component")
 
 
-class WordIds(dict):
-    """64-bit ids of words (bytes); the first ``MEMO_ENTRIES`` are remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MEMO_ENTRIES:
-            self[word] = found
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-WORD_IDS = WordIds()
-
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of one text that are hashed at a time, of short texts together, and the longest word that the running sum serves.
+CHUNK, GROUP, SHORT_WORD = 1 << 20, 1 << 16, 64
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -89,15 +80,75 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def grams(ids: np.ndarray, n: int) -> np.ndarray:
-    """64-bit ids of all runs of ``n`` consecutive words; none if there are fewer words."""
-    size = len(ids) - n + 1
-    if size <= 0:
-        return np.empty(0, np.uint64)
-    out = mixed(ids[:size] + _STEP)
-    for k in range(1, n):
-        out = mixed(out * _STEP + ids[k : k + size])
-    return out
+_LETTERS = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
+@lru_cache(maxsize=8)
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Runs:
+    """Hashes of runs of a sequence of 64-bit items, each from two places of one running sum."""
+
+    def __init__(self, items: np.ndarray):
+        size = max(1 << max(len(items), 1).bit_length(), 4096)
+        self.total = np.zeros(len(items) + 1, np.uint64)
+        np.cumsum(items * _powers(_BASE, size)[: len(items)], out=self.total[1:])
+        self.back = _powers(_INVERSE, size)
+
+    def hash(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mixed((self.total[stop] - self.total[start]) * self.back[start] + (stop - start).astype(np.uint64))
+
+    def grams(self, n: int) -> np.ndarray:
+        """Hashes of all runs of ``n`` items; none if there are fewer."""
+        count = max(len(self.total) - n, 0)
+        return mixed((self.total[n : n + count] - self.total[:count]) * self.back[:count] + np.uint64(n))
+
+
+def _chunks(data: bytes) -> Iterator[bytes]:
+    """The text in parts of about ``CHUNK`` bytes, cut at white space."""
+    at = 0
+    while at < len(data):
+        to = min(at + CHUNK, len(data))
+        while to < len(data) and not _SPACE[data[to]]:
+            to += 1
+        yield data[at:to]
+        at = to
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of a chunk and where it starts."""
+    raw = np.frombuffer(data, np.uint8)
+    outside = np.ones(len(raw) + 2, bool)
+    outside[1:-1] = _SPACE[raw]
+    edges = np.flatnonzero(outside[1:] != outside[:-1])
+    start, stop = edges[::2], edges[1::2]
+    long = np.flatnonzero(stop - start > SHORT_WORD)
+    ids = Runs(_LETTERS[raw]).hash(start, stop)
+    # Long words could be made to collide in a running sum.
+    for k in long.tolist():
+        ids[k] = xxhash.xxh3_64_intdigest(data[start[k] : stop[k]])
+    return ids, start
+
+
+def word_ids(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Per text the 64-bit hashes of its words ``[^\x20\x09-\x0D]+``, in order; short texts are hashed together."""
+    group, load = [], 0
+    for data in [*texts, None]:
+        if group and (data is None or load + len(data) > GROUP):
+            ids, start = _hashed(b" ".join(group)) if load <= CHUNK else (np.concatenate([_hashed(c)[0] for c in _chunks(group[0])]), None)
+            if start is None:
+                yield ids
+            else:
+                ends = np.cumsum([len(d) + 1 for d in group])
+                yield from np.split(ids, np.searchsorted(start, ends)[:-1])
+            group, load = [], 0
+        if data is not None:
+            group.append(data)
+            load += len(data)
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -10,6 +10,9 @@ from __future__ import annotations
 import numpy as np
 
 
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
     """A packed bit vector with the number of ones before every 64-bit word."""
 
@@ -18,15 +21,15 @@ class Bits:
         packed = np.packbits(bits.astype(np.uint8), bitorder="little")
         self.words = np.zeros(n // 64 + 1, "<u8")
         self.words.view(np.uint8)[: len(packed)] = packed
-        self.before = np.zeros(len(self.words), np.int32)
+        self.before = np.zeros(len(self.words), np.int64)
         np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
         self.ones = int(bits.sum())
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones among the first ``at`` bits."""
-        word, bit = at >> 6, (at & 63).astype(np.uint64)
-        below = self.words[word] & ((np.uint64(1) << bit) - np.uint64(1))
-        return self.before[word] + np.bitwise_count(below)
+        word = at >> 6
+        below = self.words.take(word) & _BELOW.take(at & 63)
+        return self.before.take(word) + np.bitwise_count(below)
 
 
 class FmIndex:
@@ -57,26 +60,32 @@ class FmIndex:
 
     @staticmethod
     def _order(text: np.ndarray, depth: int) -> np.ndarray:
-        """Positions sorted by the ``depth`` symbols from there on, by doubling."""
-        rank, step = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
+        """Positions sorted by the ``depth`` or more symbols from there on, by tripling."""
+        rank, step = text, 1
         while step < depth:
-            ahead = np.zeros_like(rank)
-            ahead[:-step] = rank[step:] + 1
-            both = rank * (int(ahead.max()) + 1) + ahead
-            rank = np.unique(both, return_inverse=True)[1].astype(np.int64)
-            step *= 2
+            # Three ranks in one number: sorted by three times as many symbols at once.
+            size = int(rank.max()) + 2
+            if size >= 1 << 21:
+                raise ValueError("too many symbols for one index")
+            both = rank * size
+            both[:-step] += rank[step:] + 1
+            both *= size
+            both[: -2 * step] += rank[2 * step :] + 1
+            rank = np.unique(both, return_inverse=True)[1]
+            step *= 3
         return np.argsort(rank, kind="stable")
 
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for level, bits, zeros in self.levels:
             ones = bits.rank(at)
-            at = np.where((symbol >> level) & 1, zeros + ones, at - ones)
+            at = np.where(symbol & (1 << level), ones + zeros, at - ones)
         return at
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows that start with ``symbol`` and then what the rows low..high start with."""
         base = self.first[symbol] - self.bottom[symbol]
-        return base + self._down(symbol, low), base + self._down(symbol, high)
+        both = self._down(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return base + both[: len(low)], base + both[len(low) :]
 
     def reach(self, ends: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How far the text before each end goes back, up to ``most``, as something of weight 2 or more.
@@ -102,12 +111,15 @@ class FmIndex:
 def repeated_windows(texts: list[np.ndarray], weights: np.ndarray, width: int) -> list[np.ndarray]:
     """Per text, which of its windows of ``width`` symbols have weight 2 or more over all texts.
 
-    First each text is read back from its end, as far as it repeats. Windows
-    beyond that are read one by one, each until it stops repeating.
+    A text of weight 2 or more repeats as a whole. Each other text is read back
+    from its end, as far as it repeats; windows beyond that are read one by one,
+    each until it stops repeating.
     """
     index = FmIndex(texts, weights, width)
     lengths = np.array([len(t) for t in texts], np.int64)
-    whole = index.reach(index.starts + lengths, lengths)
+    whole = lengths.copy()
+    single = np.flatnonzero(np.asarray(weights) < 2)
+    whole[single] = index.reach(index.starts[single] + lengths[single], lengths[single])
     out, owners, places = [], [], []
     for k, (n, back) in enumerate(zip(lengths.tolist(), whole.tolist(), strict=True)):
         flags = np.zeros(max(n - width + 1, 0), bool)

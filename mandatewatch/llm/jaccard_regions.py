@@ -24,13 +24,15 @@ sorted stream; none is collected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mandatewatch.llm.common import WORD_IDS, components, grams, in_batches, only_ids, signed, written
+from mandatewatch.llm.common import Runs, components, in_batches, only_ids, signed, word_ids, written
 
 #: The global order of n-grams puts those common in a sample of about this many documents last, by their counts.
 #: It decides how large regions get, never which pairs are found.
@@ -44,10 +46,10 @@ REGION_CELLS = 48
 SLACK = 1e-9
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """The sorted distinct n-grams of a text's words, A-Z in lower case; the whole sequence if it is shorter."""
-    words = text.encode().lower().split() if text else []
-    return np.unique(grams(WORD_IDS.of(words), min(n, len(words)))) if words else np.empty(0, np.uint64)
+def shingles(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """Per text the sorted distinct n-grams of its words, A-Z in lower case; the whole sequence if it is shorter."""
+    for words in word_ids([(t or "").encode().lower() for t in texts]):
+        yield np.unique(Runs(words).grams(min(n, len(words)))) if len(words) else words
 
 
 def set_id(members: np.ndarray) -> int:
@@ -67,8 +69,8 @@ def common_shingles(own: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text, n).view("i8"))], ["gram"])
+            for found in shingles(batch.column(0).to_pylist(), n):
+                yield pa.RecordBatch.from_arrays([pa.array(found.view("i8"))], ["gram"])
 
     counted = sample.select("text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n"))
     rows = counted.filter("n >= 3").orderBy(F.desc("n"), "gram").limit(COMMON).collect()
@@ -88,8 +90,8 @@ def described(own: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches):
         def rows():
             for batch in batches:
-                for doc_id, text, text_id in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    found = shingles(text, n)
+                found_sets = shingles(batch.column(1).to_pylist(), n)
+                for doc_id, text_id, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), found_sets, strict=True):
                     size = len(found)
                     if not size:
                         yield doc_id, text_id, 0, None, None, None
@@ -140,8 +142,8 @@ class Nodes:
         def send(batches):
             def rows():
                 for batch in batches:
-                    for text, node, to in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                        found = shingles(text, n)
+                    found_sets = shingles(batch.column(0).to_pylist(), n)
+                    for found, node, to in zip(found_sets, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                         if set_id(found) == node:  # a doc_id can stand for several rows
                             data = found.tobytes()
                             for way in to:

@@ -20,15 +20,12 @@ words too, after copies are summed, so that no shard gets all of it.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mandatewatch.llm.common import WORD_IDS, edited, grams, in_batches, mixed, only_ids, signed, words_of, written
+from mandatewatch.llm.common import Runs, edited, in_batches, mixed, only_ids, signed, word_ids, words_of, written
 from mandatewatch.llm.fm_index import repeated_windows
 
 GRAM = 8
@@ -36,22 +33,7 @@ GRAM = 8
 SHARD_WORDS = 1 << 18
 #: Anchors with more distinct segments than this are dealt by single windows.
 HOT_SEGMENTS = 256
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-@lru_cache(maxsize=4)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def runs_hash(ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words start..stop, by differences of one running sum."""
-    size = 1 << max(len(ids), 1).bit_length()
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(ids) * _powers(_BASE, size)[: len(ids)], dtype=np.uint64)])
-    return mixed((total[stop] - total[start]) * _powers(_INVERSE, size)[start] + (stop - start).astype(np.uint64))
+_HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
 def segments(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,20 +43,22 @@ def segments(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
         none = np.empty(0, np.int64)
         return none.view("u8"), none.view("u8"), none, none
     gram = min(GRAM, width)
-    hashes = grams(ids, gram)
-    place = np.lib.stride_tricks.sliding_window_view(hashes, width - gram + 1).argmin(axis=1) + np.arange(windows)
+    runs = Runs(ids)
+    hashes = runs.grams(gram)
+    # The place breaks ties, so the smallest of a window is its leftmost; minima over powers of two make up the rest.
+    least = (hashes & _HIGH) | np.arange(len(hashes), dtype=np.uint64)
+    span, reach = width - gram + 1, 1
+    while 2 * reach <= span:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    place = (np.minimum(least[:windows], least[span - reach : span - reach + windows]) & ~_HIGH).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-    last = np.concatenate([first[1:], [windows]])
-    stop = last - 1 + width
+    stop = np.concatenate([first[1:], [windows]]) - 1 + width
     # The anchor's place is part of the segment's identity: copies must line up.
-    segment = mixed(runs_hash(ids, first, stop) + (place[first] - first).astype(np.uint64))
+    segment = mixed(runs.hash(first, stop) + (place[first] - first).astype(np.uint64))
     return hashes[place[first]], segment, first, stop - first
 
 
-def text_id(text: str) -> int:
-    return signed(xxhash.xxh3_64_intdigest(text.encode()))
-
-
 def covered(places: list[tuple[int, list[int]]], n_words: int) -> np.ndarray:
     """Which words lie in a range; ranges are (start, stop, ...) lists counted from a place."""
     change = np.zeros(n_words + 1, np.int64)
@@ -97,10 +81,10 @@ def ranges(flags: np.ndarray, width: int) -> list[int]:
 
 
 def repeated_ranges(own: DataFrame, width: int) -> DataFrame:
-    """(doc_id, places): per document with repeated windows, structs of text, first word and word ranges.
+    """(doc_id, text_id, places): per document with repeated windows, structs of first word and word ranges.
 
-    ``own`` has doc_id, never null, and text. Several rows may share a doc_id;
-    every place carries its text's hash, so that none meets the wrong row.
+    ``own`` has doc_id, never null, text and text_id, its hash. Several rows may share a doc_id;
+    the hash of the text tells them apart.
     """
     anchored = pa.schema(
         [("doc_id", pa.int64()), ("text_id", pa.int64()), ("anchor", pa.int64()), ("segment", pa.int64()), ("first", pa.int32()), ("words", pa.int32())]
@@ -108,11 +92,12 @@ def repeated_ranges(own: DataFrame, width: int) -> DataFrame:
 
     def anchor(batches):
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = segments(WORD_IDS.of(words_of(text)), width)
+            ids = word_ids([(t or "").encode() for t in batch.column(1).to_pylist()])
+            for doc_id, identity, words in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), ids, strict=True):
+                found = segments(words, width)
                 n = len(found[0])
                 if n:
-                    columns = [pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, text_id(text)))]
+                    columns = [pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, identity))]
                     columns += [pa.array(found[0].view("i8")), pa.array(found[1].view("i8")), pa.array(found[2].astype("i4")), pa.array(found[3].astype("i4"))]
                     yield pa.RecordBatch.from_arrays(columns, schema=anchored)
 
@@ -130,7 +115,7 @@ def repeated_ranges(own: DataFrame, width: int) -> DataFrame:
         F.collect_list(F.struct("anchor", "segment", "words", "copies", "example.first", "hot")).alias("wanted")
     )
     wanted = written(wanted, "wanted")
-    texts = only_ids(own, wanted.select("doc_id").distinct(), "doc_id").join(wanted, "doc_id").select("text", "text_id", "wanted")
+    texts = only_ids(own, wanted.select("doc_id").distinct(), "doc_id").join(wanted, ["doc_id", "text_id"]).select("text", "wanted")
 
     piece = pa.schema(
         [("key", pa.int64()), ("piece", pa.int64()), ("copies", pa.int64()), ("anchor", pa.int64()), ("segment", pa.int64()), ("at", pa.int32()), ("content", pa.binary())]
@@ -139,17 +124,15 @@ def repeated_ranges(own: DataFrame, width: int) -> DataFrame:
     def fetch(batches):
         def all_rows():
             for batch in batches:
-                for text, identity, asked in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    if text_id(text) != identity:  # another row of the same doc_id
-                        continue
-                    ids = WORD_IDS.of(words_of(text))
+                texts_ids = word_ids([t.encode() for t in batch.column(0).to_pylist()])
+                for ids, asked in zip(texts_ids, batch.column(1).to_pylist(), strict=True):
                     for a in asked:
                         part = ids[a["first"] : a["first"] + a["words"]]
                         if not a["hot"]:
                             yield a["anchor"], a["segment"], a["copies"], a["anchor"], a["segment"], 0, part.tobytes()
                             continue
                         at = np.arange(len(part) - width + 1)
-                        own_ids = runs_hash(part, at, at + width)
+                        own_ids = Runs(part).grams(width)
                         outer = mixed(mixed(part[at] + np.uint64(a["anchor"] & (2**64 - 1))) + part[at + width - 1])
                         for s in at.tolist():
                             yield signed(int(outer[s])), signed(int(own_ids[s])), a["copies"], a["anchor"], a["segment"], s, part[s : s + width].tobytes()
@@ -190,13 +173,19 @@ def repeated_ranges(own: DataFrame, width: int) -> DataFrame:
     parts = pieces.select("key", "piece", "anchor", "segment", "at").join(found, ["key", "piece"])
     by_segment = parts.groupBy("anchor", "segment").agg(F.collect_list(F.struct("at", "edges")).alias("parts"))
     hits = rows.join(written(by_segment, "hits"), ["anchor", "segment"])
-    return hits.groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "first", "parts")).alias("places"))
+    return hits.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("first", "parts")).alias("places"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(own_id, text, text_id, doc_id): doc_id to meet by; rows without an id take their text's hash."""
+    own = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("text"))
+    own = own.withColumn("text_id", F.xxhash64("text"))
+    return own.withColumn("doc_id", F.coalesce("own_id", "text_id"))
 
 
-def kept_words(words: list[bytes], text: str, places: list[dict]) -> list[bytes]:
-    """The words outside the ranges noted for this text."""
-    identity = text_id(text)
-    spans = [(p["first"] + q["at"], q["edges"]) for p in places if p["text_id"] == identity for q in p["parts"]]
+def kept_words(words: list[bytes], places: list[dict]) -> list[bytes]:
+    """The words outside the noted ranges."""
+    spans = [(p["first"] + q["at"], q["edges"]) for p in places for q in p["parts"]]
     gone = covered(spans, len(words))
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
 
@@ -209,11 +198,8 @@ def drop_repeated(docs: DataFrame, width: int = 35) -> DataFrame:
     row and rows with the same doc_id included. Rows with a null doc_id are
     streamed like the others. Null, empty and short texts lose nothing.
     """
-    text = F.col("text").cast("string")
-    own = docs.select(F.col("doc_id").cast("long").alias("own_id"), text.alias("text"))
-    # Only a key to meet by: rows without an id take their text's hash.
-    own = own.withColumn("doc_id", F.coalesce("own_id", F.xxhash64("text")))
-    places = repeated_ranges(own.select("doc_id", "text"), width)
+    own = keyed(docs)
+    places = repeated_ranges(own.select("doc_id", "text", "text_id"), width)
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def remove(batches):
@@ -221,12 +207,12 @@ def drop_repeated(docs: DataFrame, width: int = 35) -> DataFrame:
             for batch in batches:
                 for doc_id, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                     words = words_of(text)
-                    kept = kept_words(words, text, found) if found else words
+                    kept = kept_words(words, found) if found else words
                     yield doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode()
 
         yield from in_batches(rows(), out, weigh=lambda r: len(r[3]))
 
-    joined = own.join(places, "doc_id", "left").select("own_id", "text", "places")
+    joined = own.join(places, ["doc_id", "text_id"], "left").select("own_id", "text", "places")
     return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
@@ -238,12 +224,13 @@ def without_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
 
     def edit(text, places):
         words = words_of(text)
-        kept = kept_words(words, text, places)
+        kept = kept_words(words, places)
         return b" ".join(kept).decode() if len(kept) < len(words) else text
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
-    own = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    notes = repeated_ranges(own, width).select(F.col("doc_id").alias("key"), F.col("places").alias("note"))
+    text_id = F.xxhash64(F.col("text").cast("string"))
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), text_id).alias("doc_id"), text_id.alias("text_id"))
+    own = keyed(docs).select("doc_id", "text", "text_id")
+    notes = repeated_ranges(own, width).select(F.struct("doc_id", "text_id").alias("key"), F.col("places").alias("note"))
     return edited(docs, key, notes, edit)
 
 
