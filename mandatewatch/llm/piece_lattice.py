@@ -184,7 +184,7 @@ def encode(docs: DataFrame, pieces: Pieces, fold: str = "merge") -> DataFrame:
     """(doc_id, ids) per distinct (doc_id, text); a null or empty text has no ids. Other columns are ignored."""
     words = dictionary(docs, pieces, fold)
     met = occurrences(docs).join(words.select("word", "ids"), "word")
-    listed = met.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+    listed = met.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("at", "ids"))).alias("parts"))
     text = F.col("text").cast("string")
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row")).distinct()
     same = every["doc_id"].eqNullSafe(listed["doc_id"]) & (every["row"] == listed["row"])
@@ -215,11 +215,10 @@ def digests(docs: DataFrame, pieces: Pieces, fold: str = "merge") -> DataFrame:
     words = dictionary(docs, pieces, fold)
     found = per_document(docs, words, F.size("ids"), F.pmod(F.xxhash64("at", "ids"), F.lit(1 << 31)))
     text = F.col("text").cast("string")
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row")).distinct()
+    every = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row")).agg(F.count("*").alias("copies"))
     same = every["doc_id"].eqNullSafe(found["doc_id"]) & (every["row"] == found["row"])
-    return every.join(found, same, "left").select(
-        every["doc_id"], F.coalesce("s0", F.lit(0)).cast("long").alias("n_pieces"), F.coalesce("s1", F.lit(0)).cast("long").alias("ids_digest")
-    )
+    one = lambda s: F.coalesce(F.expr(f"{s} div copies"), F.lit(0)).cast("long")
+    return every.join(found, same, "left").select(every["doc_id"], one("s0").alias("n_pieces"), one("s1").alias("ids_digest"))
 
 
 def model_path(name: str = VOCABULARY) -> str:
