@@ -14,25 +14,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mandatewatch.llm.common import edited, in_batches
+from mandatewatch.llm.common import edited, in_batches, written
 
 #: Stripped at both ends of a line.
-SPACE = " \t\n\x0b\x0c\r"
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SPACE = b" \t\n\x0b\x0c\r"
 KEYS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
 
 
-def line_key(line: str, min_chars: int) -> bytes | None:
+def line_key(line: bytes, min_chars: int) -> bytes | None:
     """The hash of the line without outer white space and A-Z in lower case; none for short lines."""
     kept = line.strip(SPACE)
-    if len(kept) < min_chars:
+    # A code point has at most four bytes.
+    if len(kept) < 4 * min_chars and len(kept.decode()) < min_chars:
         return None
-    lowered = kept.lower() if kept.isascii() else kept.translate(LOWER)
-    return xxhash.xxh3_128_digest(lowered.encode())
+    return xxhash.xxh3_128_digest(kept.lower())
 
 
-def lines_of(text: str | None) -> list[str]:
-    return (text or "").split("\n")
+def lines_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().split(b"\n")
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
@@ -51,7 +50,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> D
         yield from in_batches(rows(), KEYS, 16384)
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
-    keys = own.mapInArrow(explode, "doc_id long, key binary")
+    keys = written(own.mapInArrow(explode, "doc_id long, key binary"), "line-keys")
     if min_docs == 2:
         held = keys.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
         common = held.filter("last > keeper").select("key", "keeper")
@@ -80,7 +79,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
                     lines = lines_of(text)
                     gone = set(keys or ())
                     kept = [x for x in lines if line_key(x, min_chars) not in gone] if gone else lines
-                    yield doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)
+                    yield doc_id, len(lines), len(lines) - len(kept), b"\n".join(kept).decode()
 
         yield from in_batches(rows(), arrow, weigh=lambda r: len(r[3]))
 
@@ -93,7 +92,7 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int =
 
     def edit(text, keys):
         gone = set(keys)
-        return "\n".join(x for x in lines_of(text) if line_key(x, min_chars) not in gone)
+        return b"\n".join(x for x in lines_of(text) if line_key(x, min_chars) not in gone).decode()
 
     notes = repeated_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("key"), F.col("keys").alias("note"))
     return edited(docs, F.col("doc_id").cast("long"), notes, edit)
