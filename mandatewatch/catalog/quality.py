@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from mandatewatch.catalog import views as v
 from mandatewatch.catalog.registry import query
+from mandatewatch.catalog.sessions import _sql_phrase_score
 from mandatewatch.catalog.texts import V_CONTENT, document_scores
-from mandatewatch.functions.policy import session_flagged, session_source_trust
+from mandatewatch.functions.policy import session_flagged
 from mandatewatch.functions.scoring import gate_reading, verdict_consistent
 from mandatewatch.operators import metrics
-from mandatewatch.plans.fusion import attach_scores, metrics_table
+from mandatewatch.plans.fusion import attach_scores, content_score, metrics_table
 from mandatewatch.plans.sessions import with_signals
 
 
@@ -205,12 +206,14 @@ def latency_summary(spark, sf_dir):
     "verdict_consistency",
     f"""
     WITH {v.V_SESSIONS}, {v.V_SIGNALS}, {v.V_SCORES},
+    v_content AS (SELECT agent_id, {_sql_phrase_score('body')} AS content
+                  FROM (SELECT agent_id, COALESCE(NULLIF(injection_payload_text, ''), raw_utterance) AS body FROM v_sessions)),
     j AS (
-      SELECT r.agent_id, len(reasons) > 0 AS flagged, m.prob AS model, k.prob AS merchant, trust AS content,
+      SELECT r.agent_id, len(reasons) > 0 AS flagged, m.prob AS model, k.prob AS merchant, content,
              CASE WHEN priority_code < '3' THEN 'HIGH' WHEN priority_code < '5' THEN 'MEDIUM' ELSE 'LOW' END AS level
-      FROM v_rules r JOIN v_model m USING (agent_id) LEFT JOIN v_merchant k ON k.domain = origin_domain
+      FROM v_rules r JOIN v_content USING (agent_id) LEFT JOIN v_model m USING (agent_id) LEFT JOIN v_merchant k ON k.domain = origin_domain
     ),
-    h AS (SELECT *, CAST(flagged AS INTEGER) + CAST(model >= 0.5 AS INTEGER) + CAST(content >= 0.15 AS INTEGER)
+    h AS (SELECT *, CAST(flagged AS INTEGER) + CAST(COALESCE(model, 0) >= 0.5 AS INTEGER) + CAST(content >= 0.15 AS INTEGER)
                     + CAST(COALESCE(merchant, 0) >= 0.5 AS INTEGER) AS high FROM j),
     ok AS (SELECT level, CASE WHEN high = 0 THEN level = 'LOW' WHEN high >= 2 THEN level IN ('MEDIUM', 'HIGH') ELSE TRUE END AS ok FROM h)
     SELECT level, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS passed,
@@ -221,10 +224,10 @@ def verdict_consistency(spark, sf_dir):
 
     source = v.session_source(spark, sf_dir)
     level = F.when(F.col("priority_code") < "3", "HIGH").when(F.col("priority_code") < "5", "MEDIUM").otherwise("LOW")
-    scored = attach_scores(source, v.model_scores(source), v.merchant_scores(spark, sf_dir)).filter("model_prob is not null")
+    scored = attach_scores(source, v.model_scores(source), v.merchant_scores(spark, sf_dir))
     rows = scored.select(
         level.alias("level"), session_flagged().alias("flagged"), "model_prob",
-        session_source_trust().alias("content"), "merchant_prob",
+        content_score().alias("content"), "merchant_prob",
     )
     ok = verdict_consistent(F.col("level"), F.col("flagged"), F.col("model_prob"), F.col("content"), F.col("merchant_prob"))
     return rows.withColumn("ok", ok).groupBy("level").agg(

@@ -17,8 +17,8 @@ SCHEMA_VERSION = "1.0"
 
 
 def fused_score(model_prob: Column, merchant_prob: Column) -> Column:
-    """Higher of the two supervised scores; an unknown merchant counts as 0."""
-    return F.greatest(model_prob, F.coalesce(merchant_prob, F.lit(0.0)))
+    """Higher of the two supervised scores; an unknown merchant counts as 0, an unscored session has none."""
+    return F.when(model_prob.isNotNull(), F.greatest(model_prob, F.coalesce(merchant_prob, F.lit(0.0))))
 
 
 def risk_level(rules_flagged: Column, score: Column, content_score: Column) -> Column:
@@ -36,7 +36,7 @@ def verdict_consistent(
     """No high signal asks for LOW, two or more for MEDIUM or HIGH, one allows any."""
     high = (
         rules_flagged.cast("int")
-        + (model_prob >= HIGH_THRESHOLD).cast("int")
+        + F.coalesce(model_prob >= HIGH_THRESHOLD, F.lit(False)).cast("int")
         + (content_score >= MEDIUM_THRESHOLD).cast("int")
         + (F.coalesce(merchant_prob, F.lit(0.0)) >= HIGH_THRESHOLD).cast("int")
     )
