@@ -129,16 +129,15 @@ def merchant_communities(spark, sf_dir):
     f"""
     WITH RECURSIVE {v.V_GRAPH},
     walk(id, depth) AS (
-      SELECT MIN(id), 0 FROM v_nodes WHERE is_fraud_ring_member
-      UNION SELECT dst, depth + 1 FROM walk JOIN v_links ON src = id WHERE depth < 8
+      SELECT id, 0 FROM v_nodes WHERE is_fraud_ring_member
+      UNION SELECT dst, depth + 1 FROM walk JOIN v_links ON src = id WHERE depth < (SELECT COUNT(*) FROM v_nodes)
     )
     SELECT id, MIN(depth) AS depth FROM walk GROUP BY id
     """,
 )
 def merchant_hop_depth(spark, sf_dir):
     nodes, edges = v.merchant_graph(spark, sf_dir)
-    first = nodes.filter("is_fraud_ring_member").agg(F.min("id").alias("id"))
-    return graph.hop_depth(first, edges)
+    return graph.hop_depth(nodes.filter("is_fraud_ring_member"), edges)
 
 
 @query(

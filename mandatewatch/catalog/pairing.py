@@ -297,13 +297,16 @@ def trend(spark, sf_dir):
     """
     WITH r AS (SELECT 1 AS round, COUNT(*) AS n, AVG(value) AS recall FROM events WHERE event_type = 'view'
                UNION ALL SELECT 2, COUNT(*), AVG(value) FROM events WHERE event_type = 'refund'
-               UNION ALL SELECT 3, COUNT(*), AVG(value) FROM events WHERE event_type = 'click')
+               UNION ALL SELECT 3, COUNT(*), AVG(value) FROM events WHERE event_type = 'click'
+               UNION ALL SELECT 4, COUNT(*), AVG(value) FROM events WHERE event_type = 'signup'
+               UNION ALL SELECT 5, COUNT(*), AVG(value) FROM events WHERE event_type = 'error'
+               UNION ALL SELECT 6, COUNT(*), AVG(value) FROM events WHERE event_type = 'purchase')
     SELECT CAST(round AS INTEGER) AS round, CAST(n AS BIGINT) AS n, round(recall, 6) AS recall FROM r WHERE n > 0
     """,
 )
 def numbered_rounds(spark, sf_dir):
     events = v.table(spark, sf_dir, "events")
-    kinds = ("view", "refund", "click")
+    kinds = ("view", "refund", "click", "signup", "error", "purchase")  # no event is a refund: that round is empty
     rounds = [
         events.filter(F.col("event_type") == kind).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("recall"))
         for kind in kinds
