@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mandatewatch.runtime import cut_lineage
 
-RANK_BUCKET_DIGITS = 3
+RANK_BUCKET_DIGITS = 4
 PREFIX_BUCKETS = 64
 
 
@@ -79,7 +79,7 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: str, totals: Sequence[s
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int | str) -> DataFrame:
     """Exactly ``n`` rows (or all, if fewer), the same for every partitioning."""
-    return hash_rank(df, key, seed, rank="_rank").filter(F.col("_rank") <= n).drop("_rank")
+    return df.withColumn("_hash", seeded_hash(seed, key)).orderBy("_hash", key).limit(n).drop("_hash")
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: int | str) -> DataFrame:
@@ -130,9 +130,13 @@ def zip_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str, s
     The pairing is a fabricated one: no key relates the two tables. Every left
     row is kept; it stays unpaired if the right table is too short.
     """
-    return hash_rank(left, left_key, seed, rank="pair_rank").join(
-        hash_rank(right, right_key, seed, rank="pair_rank"), "pair_rank", "left"
-    )
+    # Only keys are ranked; the wide rows meet their partners once.
+    ours = hash_rank(left.select(left_key), left_key, seed, rank="pair_rank")
+    theirs = hash_rank(right.select(F.col(right_key).alias("_partner")), "_partner", seed, rank="pair_rank")
+    pairs = ours.join(theirs, "pair_rank", "left")
+    partner = right.withColumn("_partner", F.col(right_key))
+    zipped = left.join(pairs, left_key).join(partner, "_partner", "left")
+    return zipped.select("pair_rank", *left.columns, *right.columns)
 
 
 def latest_by_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from mandatewatch.functions.text import url_domain
+from mandatewatch.runtime import cut_lineage
 
 
 def ratio(first: str, second: str) -> float:
@@ -27,6 +28,7 @@ def typosquat_scores(sessions: DataFrame, key: str, domain: str, allowlist: str)
     Only distinct (domain, allowlisted) pairs reach Python, and distinct
     (domain, allowlist) combinations are scored once.
     """
+    sessions = cut_lineage(sessions.select(key, domain, allowlist))  # read three times below
     combos = sessions.select(domain, allowlist).distinct()
     listed = combos.select(domain, allowlist, F.explode(allowlist).alias("listed"))
     scored = listed.select(domain, "listed").distinct().withColumn("ratio", name_ratio(F.col(domain), F.col("listed")))

@@ -222,3 +222,36 @@ def test_session_list_filters(scored):
     assert plans.filter_sessions(index, rules="clean").count() == 5
     assert plans.filter_sessions(index, subtlety="obvious", category="travel", rules="flagged").count() == 5
     assert latest_by_key(index.select("agent_id", "subtlety"), "agent_id", ["subtlety"]).count() == 10
+
+
+def test_csv_columns_by_name_and_standard_quoting(spark, tmp_path):
+    import pandas as pd
+
+    from mandatewatch import schemas
+
+    (tmp_path / "t.csv").write_text("ProductCD,TransactionAmt,isFraud,TransactionID\nW,5.5,0,7\n")
+    wanted = "TransactionID bigint, isFraud int, TransactionAmt double, ProductCD string, card4 string"
+    assert readers.read_table_csv(spark, str(tmp_path / "t.csv"), wanted).first().asDict() == {
+        "TransactionID": 7, "isFraud": 0, "TransactionAmt": 5.5, "ProductCD": "W", "card4": None,
+    }
+    pd.DataFrame({"n": [1], "items": [str(["it's", "a, b", 'line'])]}).to_csv(tmp_path / "l.csv", index=False)
+    row = readers.read_table_csv(spark, str(tmp_path / "l.csv"), "n int, items string")
+    assert row.select(readers.decode_list(F.col("items")).alias("x")).first().x == ["it's", "a, b", "line"]
+    (tmp_path / "i.csv").write_text("DeviceInfo,TransactionID,DeviceType\n\"say \"\"hi\"\"\",3,mobile\n")
+    assert readers.read_identity_csv(spark, str(tmp_path / "i.csv")).first().DeviceInfo == 'say "hi"'
+    assert schemas.IDENTITY.startswith("TransactionID")
+
+
+def test_late_scores_yield_their_payload(spark, scored, tmp_path):
+    rows, model, merchants = scored
+    early = model.filter("agent_id <> 'clean-1'")
+    rows.write.parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    start_scoring(arriving, early, merchants, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert stored.count() == 10
+    waiting = stored.filter("agent_id = 'clean-1'").first().payload
+    assert waiting.session_risk_score is None and waiting.risk_level == "LOW"
+    assert fusion.late_payloads(rows, stored, early, merchants).count() == 0
+    late = fusion.late_payloads(rows, stored, model, merchants).collect()
+    assert [r.agent_id for r in late] == ["clean-1"] and late[0].payload.session_risk_score == 0.01

@@ -141,3 +141,10 @@ def test_signal_table_and_gate(spark):
     assert got["a"]["obvious"] == 1.0 and got["a"]["subtle"] == 0.5 and got["a"]["subtle_is_harder"]
     aucs = spark.createDataFrame([(0.9, 0.85), (0.9, 0.65), (0.9, 0.64), (None, 0.99)], "s double, a double")
     assert [r[0] for r in aucs.select(gate_reading(F.col("s"), F.col("a"))).collect()] == ["strong", "partial", "pivot", "lexical only"]
+
+
+def test_rows_without_a_score_count_nowhere(spark):
+    frame = spark.createDataFrame([(0.0, 1), (None, 0), (None, 1), (None, 0)], "c double, o int")
+    assert metrics.calibration(frame, "c", "o").first()["brier"] == 1.0
+    got = metrics.confusion(frame, "c", "o").first()
+    assert got["n"] == 1 == got["tp"] + got["fp"] + got["fn"] + got["tn"]
