@@ -350,7 +350,8 @@ def document_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as taxonomy entries, with a vector of their words.
 
     Each distinct word falls in one of 64 slots by its hash; a slot holds its
-    word count less the mean count. Copies and near copies end up close.
+    word count less the mean count. Copies and near copies end up close. A
+    document without words has a zero vector.
     """
     docs = documents(spark, sf_dir, "doc_id", "lang", "source", "text").select(
         "doc_id", "lang", "source", word_set(F.col("text")).alias("words")
@@ -358,13 +359,13 @@ def document_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int") % SLOTS
     counts = (
         docs.repartition("doc_id")
-        .select("doc_id", "lang", "source", F.size("words").alias("n"), F.explode("words").alias("word"))
+        .select("doc_id", "lang", "source", F.size("words").alias("n"), F.explode_outer("words").alias("word"))
         .groupBy("doc_id", "lang", "source", "n", slot.alias("slot"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
     # At most one entry per slot.
     filled = counts.groupBy("doc_id", "lang", "source", "n").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "c"))).alias("slots")
+        F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "c")))).alias("slots")
     )
     vector = F.transform(
         F.sequence(F.lit(0), F.lit(SLOTS - 1)),
