@@ -39,5 +39,5 @@ def test_query_matches_sql(spark, duck, name):
     done = duck.execute(oracle_sql()[name])
     theirs = rows_of([d[0] for d in done.description], done.fetchall())
     assert compare(mine, theirs) == ""
-    # The smallest tables hold no two neighbouring attacks with equal tags.
-    assert mine[1] or name == "shared_attack_tags"
+    # The smallest tables hold no two neighbouring attacks with equal tags, and no ring member to start from.
+    assert mine[1] or name in {"shared_attack_tags", "merchant_hop_depth"}
