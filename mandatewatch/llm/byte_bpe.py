@@ -38,27 +38,33 @@ class ByteBpe:
         kind = spec["pre_tokenizer"]
         if spec["normalizer"] or kind["type"] != "ByteLevel" or kind["add_prefix_space"] or not kind["use_regex"]:
             raise ValueError("only plain byte-level vocabularies are supported")
+        self.tokenize = self.library.model.tokenize
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = byte_letters()
+        self.packed = [k.to_bytes(4, "little") for k in range(self.library.get_vocab_size())]
         self.pre_tokens: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _pre_token(self, piece: str) -> bytes:
         found = self.pre_tokens.get(piece)
         if found is None:
-            spelled = piece.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.library.model.tokenize(spelled)], "<u4").tobytes()
+            if piece.isascii() and piece.isprintable() and " " not in piece[1:]:
+                # Printable ASCII but the space stands for itself.
+                spelled = self.letters[0x20] + piece[1:] if piece[0] == " " else piece
+            else:
+                spelled = piece.encode().decode("latin-1").translate(self.letters)
+            packed = self.packed
+            found = b"".join([packed[t.id] for t in self.tokenize(spelled)])
             if len(self.pre_tokens) < MEMO_ENTRIES:
                 self.pre_tokens[piece] = found
         return found
 
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            found = b"".join(map(self._pre_token, self.cut(part)))
-            if len(self.parts) < MEMO_ENTRIES and "\n" not in part:
-                self.parts[part] = found
+    def _word(self, word: str) -> bytes:
+        """The ids of a space and the word after it."""
+        found = b"".join(map(self._pre_token, self.cut(" " + word)))
+        if len(self.words) < MEMO_ENTRIES and "\n" not in word:
+            self.words[word] = found
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -68,11 +74,8 @@ class ByteBpe:
         if "  " in text or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
-        known, out = self.parts, [self._part(first)] if first else []
-        for word in rest:
-            part = " " + word
-            out.append(known.get(part) or self._part(part))
-        return b"".join(out)
+        known, word = self.words.get, self._word
+        return b"".join([*map(self._pre_token, self.cut(first)), *[known(w) or word(w) for w in rest]])
 
 
 @lru_cache(maxsize=2)
