@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from mandatewatch.catalog import graphs, models, pairing, quality, risk, sessions, similarity, texts
+from mandatewatch.catalog import evaluation, graphs, models, pairing, quality, risk, sessions, similarity, texts
 from mandatewatch.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graphs", "models", "pairing", "quality", "risk", "sessions", "similarity", "texts"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "graphs", "models", "pairing", "quality", "risk", "sessions", "similarity", "texts"]

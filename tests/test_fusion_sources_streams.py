@@ -255,3 +255,13 @@ def test_late_scores_yield_their_payload(spark, scored, tmp_path):
     assert fusion.late_payloads(rows, stored, early, merchants).count() == 0
     late = fusion.late_payloads(rows, stored, model, merchants).collect()
     assert [r.agent_id for r in late] == ["clean-1"] and late[0].payload.session_risk_score == 0.01
+
+
+def test_gold_table_has_a_null_row_without_merchants(spark):
+    from mandatewatch.plans.evaluation import metrics_gold
+
+    rows = spark.createDataFrame([("benign", 0, 0.1), ("obvious", 1, 0.9)], "subtlety string, label int, prob double")
+    rounds = spark.createDataFrame([(1, 10, 0.5)], "round int, n bigint, recall double")
+    got = {(r.section, r.name): r for r in metrics_gold(rows, None, rounds).collect()}
+    assert got["attack_2", "merchants"].n is None and got["attack_2", "merchants"].f1 is None
+    assert got["round", "1"].recall == 0.5 and got["attack_1", "overall"].auc == 1.0
