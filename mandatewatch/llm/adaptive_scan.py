@@ -61,36 +61,32 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = ROUNDS, seed: in
     return centres
 
 
-def scan(queries: np.ndarray, rows: np.ndarray, k: int, columns: int = COLUMNS, margin: float = MARGIN) -> list[np.ndarray]:
-    """Per query (rotated unit vectors) the rows that the tests leave, at least the ``k`` nearest estimated."""
-    n, size = rows.shape
+def scan(queries: np.ndarray, rows: np.ndarray, allowed: np.ndarray, k: int, columns: int = COLUMNS, margin: float = MARGIN) -> list[np.ndarray]:
+    """Per query (rotated unit vectors) the allowed rows that the tests leave, at least the ``k`` nearest estimated."""
+    size = rows.shape[1]
     blocks = [(a, min(a + columns, size)) for a in range(0, size, columns)]
     laid = [np.ascontiguousarray(rows[:, a:b]) for a, b in blocks]
-    squares = [(x * x).sum(1) for x in laid]
-    first, stop = blocks[0]
-    head = queries[:, first:stop]
-    start = squares[0][None, :] + (head * head).sum(1)[:, None] - 2 * head @ laid[0].T
+    head = queries[:, : blocks[0][1]]
+    start = (laid[0] ** 2).sum(1)[None, :] + (head**2).sum(1)[:, None] - 2 * head @ laid[0].T
     out = []
-    for q, partial in zip(queries, start, strict=True):
-        alive = np.arange(n)
-        if n > k:
+    for q, estimate, mine in zip(queries, start, allowed, strict=True):
+        alive = np.flatnonzero(mine)
+        partial = estimate[alive]
+        bound = math.inf
+        if len(alive) > k:
             # The k best estimates are measured in full and give the distance to beat.
-            seeds = np.argpartition(partial, k - 1)[:k]
+            seeds = alive[np.argpartition(partial, k - 1)[:k]]
             bound = ((rows[seeds] - q) ** 2).sum(1).max()
-        else:
-            bound = math.inf
         for j, (a, b) in enumerate(blocks):
             if j:
                 part = laid[j][alive] - q[a:b]
                 partial = partial + (part * part).sum(1)
             if b < size:
-                limit = bound * (b / size) * (1 + margin / math.sqrt(b)) ** 2
-                good = partial <= limit
+                good = partial <= bound * (b / size) * (1 + margin / math.sqrt(b)) ** 2
                 alive, partial = alive[good], partial[good]
         if len(alive) > k:
             # Whole distances now; equal ones all stay, so that ties go by id.
-            kth = np.partition(partial, k - 1)[k - 1]
-            alive = alive[partial <= kth + 1e-9]
+            alive = alive[partial <= np.partition(partial, k - 1)[k - 1] + 1e-9]
         out.append(alive)
     return out
 
@@ -116,7 +112,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, probed_share: float
     items = same.join(ids, "v", "left").select("vec_id", "v", F.coalesce("ids", F.array("vec_id")).alias("ids"))
     items = written(items, "vectors")
 
-    total = items.count()
+    total, k_found = items.count(), k
     share = min(SAMPLE_ROWS / max(total, 1), 1.0)
     picked = items.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("vec_id").select("v").collect()
     if not picked:
@@ -136,26 +132,39 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, probed_share: float
 
     placed = written(items.mapInArrow(place, "vec_id long, v array<double>, ids array<long>, list int"), "lists")
 
+    # Lists are scanned in bundles of about ``BLOCK_ROWS`` rows; a list of more rows is cut into blocks.
+    bundles = max(total // BLOCK_ROWS, 1)
+
     def probe(batches):
         for batch in batches:
-            if batch.num_rows:
-                turned = units(matrix(batch.column(1))) @ turn
-                near = np.argsort(-(turned @ centres.T), axis=1, kind="stable")[:, :probed].astype("i4")
-                repeated = pa.array(np.repeat(np.arange(batch.num_rows), probed))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(repeated), batch.column(1).take(repeated), pa.array(near.ravel())], ["vec_id", "v", "list"]
-                )
-
-    probes = asked.mapInArrow(probe, "vec_id long, v array<double>, list int")
-
-    # Rows and queries of a list meet in blocks of both; there are at most as many lists as the sample allows.
-    blocks = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    teams = probes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("teams"))
-    plan = F.broadcast(written(blocks.join(teams, "list"), "blocks"))
+            if not batch.num_rows:
+                continue
+            turned = units(matrix(batch.column(1))) @ turn
+            near = np.argsort(-(turned @ centres.T), axis=1, kind="stable")[:, :probed]
+            which, bundle, lists_of = [], [], []
+            for k, own in enumerate(near):
+                for name in np.unique(own % bundles).tolist():
+                    which.append(k)
+                    bundle.append(name)
+                    lists_of.append(own[own % bundles == name])
+            columns = [batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which))]
+            columns += [pa.array(bundle, pa.int32()), pa.array(lists_of, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "bundle", "lists"])
+
+    probes = asked.mapInArrow(probe, "vec_id long, v array<double>, bundle int, lists array<int>")
+    probes = written(probes, "probes")
+
+    # Blocks of rows meet teams of queries; both plans are bounded by the number of lists, and so by the sample.
     at = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    candidates = placed.join(plan, "list").select("list", at("blocks").alias("block"), every("teams").alias("team"), "vec_id", "v", "ids")
-    asking = probes.join(plan, "list").select("list", every("blocks").alias("block"), at("teams").alias("team"), "vec_id", "v")
+    cut = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("cut"))
+    cut = written(cut.withColumn("bundle", F.col("list") % bundles), "cut")
+    most = cut.groupBy("bundle").agg(F.max("cut").alias("blocks"))
+    teams = probes.groupBy("bundle").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("teams"))
+    plan = F.broadcast(written(most.join(teams, "bundle"), "bundles"))
+    candidates = placed.join(F.broadcast(cut), "list").join(plan, "bundle")
+    candidates = candidates.select("bundle", at("cut").alias("block"), every("teams").alias("team"), "vec_id", "v", "ids", "list")
+    asking = probes.join(plan, "bundle").select("bundle", every("blocks").alias("block"), at("teams").alias("team"), "vec_id", "v", "lists")
 
     found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -165,15 +174,20 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, probed_share: float
             own = matrix(left.column("v").combine_chunks())
             names, ids = right.column("vec_id").to_pylist(), left.column("ids").to_pylist()
             vectors = matrix(right.column("v").combine_chunks())
+            place = left.column("list").to_numpy()
+            allowed = np.zeros((len(names), lists), bool)
+            for k, chosen in enumerate(right.column("lists").to_pylist()):
+                allowed[k, chosen] = True
             # One row more than asked, since a query may find itself.
-            for name, vector, kept in zip(names, vectors, scan(units(vectors) @ turn, units(own) @ turn, k + 1), strict=True):
+            left_over = scan(units(vectors) @ turn, units(own) @ turn, allowed[:, place], k_found + 1)
+            for name, vector, kept in zip(names, vectors, left_over, strict=True):
                 scores = cosines(vector, own[kept]).tolist()
                 best = sorted((-s, i) for s, r in zip(scores, kept.tolist(), strict=True) for i in ids[r] if i != name)
-                rows_out += [(name, i, -s) for s, i in best[:k]]
+                rows_out += [(name, i, -s) for s, i in best[:k_found]]
         return pa.Table.from_batches(list(in_batches(rows_out, found)), found)
 
-    groups = candidates.groupBy("list", "block", "team").cogroup(asking.groupBy("list", "block", "team"))
-    near = groups.applyInArrow(meet, FOUND)
+    key = ("bundle", "block", "team")
+    near = candidates.groupBy(*key).cogroup(asking.groupBy(*key)).applyInArrow(meet, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
