@@ -265,3 +265,27 @@ def test_gold_table_has_a_null_row_without_merchants(spark):
     got = {(r.section, r.name): r for r in metrics_gold(rows, None, rounds).collect()}
     assert got["attack_2", "merchants"].n is None and got["attack_2", "merchants"].f1 is None
     assert got["round", "1"].recall == 0.5 and got["attack_1", "overall"].auc == 1.0
+
+
+def test_append_reads_only_the_buckets_of_the_batch(spark, tmp_path):
+    """Files of other buckets are gone; a batch that does not touch them never notices."""
+    import pathlib
+    import shutil
+
+    out, rows = str(tmp_path / "out"), spark.createDataFrame([(i, f"v{i}") for i in range(200)], "id bigint, v string")
+    rows.write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema("id bigint, v string").parquet(str(tmp_path / "in"))
+    start_append_by_id(read(), "id", out, str(tmp_path / "s1"), 8).awaitTermination()
+    own = F.pmod(F.xxhash64("id"), F.lit(8))
+    assert spark.read.parquet(out).filter(own != F.col("bucket")).isEmpty() and spark.read.parquet(out).count() == 200
+    for folder in pathlib.Path(out).glob("writer=*/batch=*/bucket=*"):
+        if folder.name != "bucket=3":
+            shutil.rmtree(folder)
+            folder.mkdir()
+            (folder / "part-broken.parquet").write_bytes(b"not parquet")
+    rows.filter(own == 3).write.parquet(str(tmp_path / "more"))
+    more = spark.readStream.schema("id bigint, v string").parquet(str(tmp_path / "more"))
+    start_append_by_id(more, "id", out, str(tmp_path / "s2"), 8).awaitTermination()
+    kept = rows.filter(own == 3).count()
+    found = spark.read.schema("id bigint, v string").parquet(*map(str, pathlib.Path(out).glob("writer=*/batch=*/bucket=3")))
+    assert kept > 0 and found.count() == kept
