@@ -152,8 +152,26 @@ def merchant_graph_counts(spark, sf_dir):
     return graph.graph_counts(*v.merchant_graph(spark, sf_dir))
 
 
-@query("merchant_graph_export", f"WITH {v.V_GRAPH} SELECT src, dst, relation FROM v_edges")
+@query(
+    "merchant_graph_export",
+    f"""
+    WITH {v.V_GRAPH}
+    SELECT 'edge' AS kind, src, dst, relation, NULL::BOOLEAN AS ring, NULL::INTEGER AS age FROM v_edges
+    UNION ALL SELECT 'node', id, NULL, type, is_fraud_ring_member, registered_days_ago FROM v_nodes
+    """,
+)
 def merchant_graph_export(spark, sf_dir):
     path = scratch_path(spark, "merchant-graph")
     writers.write_graph(*v.merchant_graph(spark, sf_dir), path)
-    return spark.read.schema("src string, dst string, relation string").json(f"{path}/edges")
+    edges = spark.read.schema("src string, dst string, relation string").json(f"{path}/edges")
+    stored = "id string, type string, is_fraud_ring_member boolean, registered_days_ago int"
+    nodes = spark.read.schema(stored).json(f"{path}/nodes")
+    none = lambda kind: F.lit(None).cast(kind)
+    return edges.select(
+        F.lit("edge").alias("kind"), "src", "dst", "relation", none("boolean").alias("ring"), none("int").alias("age")
+    ).unionByName(
+        nodes.select(
+            F.lit("node").alias("kind"), F.col("id").alias("src"), none("string").alias("dst"), F.col("type").alias("relation"),
+            F.col("is_fraud_ring_member").alias("ring"), F.col("registered_days_ago").alias("age"),
+        )
+    )

@@ -89,13 +89,23 @@ def malicious(spark, sf_dir):
     "legit_and_malicious_overlap",
     f"""
     WITH {v.V_SESSIONS}, {_V_LEGIT}, m AS (SELECT domain FROM v_seen EXCEPT SELECT domain FROM v_legit)
-    SELECT CAST(COUNT(*) AS BIGINT) AS overlap FROM (SELECT domain FROM m INTERSECT SELECT domain FROM v_legit)
+    SELECT (SELECT CAST(COUNT(DISTINCT domain) AS BIGINT) FROM m) AS malicious, (SELECT CAST(COUNT(DISTINCT domain) AS BIGINT) FROM v_legit) AS legit,
+           (SELECT CAST(COUNT(*) AS BIGINT) FROM (SELECT domain FROM v_seen INTERSECT SELECT domain FROM v_legit)) AS seen_legit,
+           (SELECT CAST(COUNT(*) AS BIGINT) FROM (SELECT domain FROM m INTERSECT SELECT domain FROM v_legit)) AS overlap
     """,
 )
 def legit_and_malicious_overlap(spark, sf_dir):
     sessions = v.sessions(spark, sf_dir)
     legit = legit_domains(sessions)
-    return malicious_domains(sessions, legit).intersect(legit).agg(F.count(F.lit(1)).alias("overlap"))
+    count = lambda df, name: df.distinct().agg(F.count(F.lit(1)).alias(name))
+    malicious, nothing = malicious_domains(sessions, legit), legit.limit(0)
+    seen = malicious_domains(sessions, nothing)
+    parts = [
+        count(malicious, "malicious"), count(legit, "legit"), count(seen.intersect(legit), "seen_legit"),
+        count(malicious.intersect(legit), "overlap"),
+    ]
+    one = [part.withColumn("one", F.lit(1)) for part in parts]
+    return one[0].join(one[1], "one").join(one[2], "one").join(one[3], "one").drop("one")
 
 
 @query(

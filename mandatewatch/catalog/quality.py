@@ -158,7 +158,7 @@ def signal_spread(spark, sf_dir):
                  MAX(CASE WHEN slice = 'subtle' THEN auc END) AS subtle FROM a GROUP BY signal)
     SELECT signal, round(overall, 6) AS overall, round(obvious, 6) AS obvious, round(subtle, 6) AS subtle,
            subtle < obvious - 0.1 AS subtle_is_harder,
-           CASE WHEN overall >= 0.85 THEN 'strong' WHEN overall >= 0.65 THEN 'partial' ELSE 'pivot' END AS reading
+           CASE WHEN signal = 'utterance_artifact_divergence' THEN 'lexical only' WHEN overall >= 0.85 THEN 'strong' WHEN overall >= 0.65 THEN 'partial' ELSE 'pivot' END AS reading
     FROM w
     """,
 )
@@ -166,7 +166,9 @@ def signal_separation(spark, sf_dir):
     # Rounded so that equal texts tie in both engines.
     rows = signal_rows(spark, sf_dir).withColumn(SIGNALS[0], F.round(SIGNALS[0], 12))
     table = metrics.signal_auc_table(rows, SIGNALS, "label")
-    read = table.withColumn("reading", gate_reading(F.col("overall"), F.col("overall")))
+    # Sessions carry no embeddings, so the divergence has no semantic AUC.
+    semantic = F.when(F.col("signal") != SIGNALS[0], F.col("overall"))
+    read = table.withColumn("reading", gate_reading(semantic, F.col("overall")))
     return rounded(read, "overall", "obvious", "subtle")
 
 
