@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -134,10 +135,10 @@ def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, start
 
 
-def word_ids(texts: list[bytes]) -> Iterator[np.ndarray]:
+def word_ids(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
     """Per text the 64-bit hashes of its words ``[^\x20\x09-\x0D]+``, in order; short texts are hashed together."""
     group, load = [], 0
-    for data in [*texts, None]:
+    for data in chain(texts, [None]):
         if group and (data is None or load + len(data) > GROUP):
             ids, start = _hashed(b" ".join(group)) if load <= CHUNK else (np.concatenate([_hashed(c)[0] for c in _chunks(group[0])]), None)
             if start is None:
@@ -156,6 +157,33 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def runs_of(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """(key, columns) of each run of rows with equal integer keys in sorted batches; lists of equal length become matrices."""
+
+    def plain(column) -> np.ndarray:
+        if pa.types.is_list(column.type):
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            return flat.reshape(len(column), -1)
+        return column.to_numpy(zero_copy_only=False)
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [plain(c) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate([a, b]) for a, b in zip(held, columns, strict=True)]
+        edge = np.zeros(len(columns[0]) - 1, bool)
+        for k in columns[:n_keys]:
+            edge |= k[1:] != k[:-1]
+        starts = [0, *(np.flatnonzero(edge) + 1).tolist()]
+        for a, b in zip(starts, starts[1:], strict=False):
+            yield tuple(int(k[a]) for k in columns[:n_keys]), [c[a:b] for c in columns[n_keys:]]
+        held = [c[starts[-1] :] for c in columns]
+    if held is not None:
+        yield tuple(int(k[0]) for k in held[:n_keys]), held[n_keys:]
+
+
 def arrow_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -2,29 +2,33 @@
 
 1 - Jaccard is a metric. Unrelated documents all lie at a distance near 1 from
 each other, so pivots alone would copy every document into every region; the
-first split is therefore by the n-grams themselves: two linked documents share
-one of their rarest n-grams (the prefix filter), and a region is an n-gram's
-documents. Inside the regions pivots take over:
-
-1. Equal sets become one node. In the regions of its two rarest n-grams each
-   node meets a pivot; the nearest one within the threshold takes the node into
-   its Voronoi cell, at a known distance, and is linked with it.
-2. Regions are then joined cell by cell. By the triangle inequality two cells
-   whose pivots are further apart than the threshold plus both radii hold no
-   linked pair. Regions of many cells are split again by a second shared n-gram.
+first split is therefore an exact one by content: the n-grams are dealt to so
+many parts that two linked sets, which differ in fewer members than there are
+parts, are equal in one of them. Documents equal in a part form a region. Inside
+the regions pivots take over:
+
+1. Equal sets become one node. In the regions of its smallest hashes each node
+   meets a pivot; the nearest one within the threshold takes the node into its
+   Voronoi cell, at a known distance, and is linked with it.
+2. Regions are then joined cell by cell, in blocks. By the triangle inequality
+   two cells whose pivots are further apart than the threshold plus both radii
+   hold no linked pair.
 3. Cells that are neither pruned nor linked yet are opened: a document goes to
    the other cell only if its distance from its own pivot puts it into the
    window along the border, and the pairs are compared exactly.
 
 A histogram of each set, over hash buckets, bounds the similarity from above
-without the sets, so only near pairs are compared. Sets are worked out again
-from the texts of the documents that take part, and meet their pivot in a
-sorted stream; none is collected.
+without the sets, so only near pairs ever become rows and are compared. Sets are
+worked out again from the texts of the documents that take part, and meet their
+pivot in a sorted stream; none is collected.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +36,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mandatewatch.llm.common import Runs, components, in_batches, only_ids, signed, word_ids, written
+from mandatewatch.llm.common import BROADCAST_IDS, Runs, components, in_batches, mixed, only_ids, runs_of, signed, word_ids, written
 
-#: The global order of n-grams puts those common in a sample of about this many documents last, by their counts.
-#: It decides how large regions get, never which pairs are found.
-SAMPLE_DOCS = 8192
-COMMON = 200_000
+#: Sets of sizes from s to this many times s are dealt to the same number of parts.
+SIZE_CLASS = 1.5
+#: Parts beyond those needed, at least, so that most sets can leave out their empty ones.
+EMPTY_PARTS = 3
+#: Smallest hashes by which a node looks for a pivot.
+SKETCH = 3
 BUCKETS = 64
 #: Rows of one pivot that meet in one stream; a pivot with more gets several.
 STREAM_ROWS = 512
-#: Regions of more cells than this are split by a second n-gram.
-REGION_CELLS = 48
+#: Rows of a region, or of a host cell, that meet at a time.
+BLOCK_ROWS = 512
 SLACK = 1e-9
 
 
 def shingles(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
     """Per text the sorted distinct n-grams of its words, A-Z in lower case; the whole sequence if it is shorter."""
-    for words in word_ids([(t or "").encode().lower() for t in texts]):
+    for words in word_ids((t or "").encode().lower() for t in texts):
         yield np.unique(Runs(words).grams(min(n, len(words)))) if len(words) else words
 
 
@@ -56,58 +62,73 @@ def set_id(members: np.ndarray) -> int:
     return signed(xxhash.xxh3_64_intdigest(members.tobytes()))
 
 
-def prefix_size(n: int, percent: int) -> int:
-    """How many of its first members a set must show: linked sets share at least percent of the larger."""
-    return n - -(-percent * n // 100) + 1
+@lru_cache(maxsize=1)
+def size_classes() -> list[int]:
+    """The smallest size of each class, and one beyond the last."""
+    out = [1]
+    while out[-1] < 1 << 48:
+        out.append(max(out[-1] + 1, int(out[-1] * SIZE_CLASS)))
+    return out
 
 
-def common_shingles(own: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-grams found in three or more documents of the sample, and their counts there."""
-    total = max(own.count(), 1)
-    share = min(SAMPLE_DOCS / total, 1.0)
-    sample = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+def part_ids(found: np.ndarray, percent: int) -> np.ndarray:
+    """The regions of a set: for each part the hash of what it holds, with the part and the class.
 
-    def run(batches):
-        for batch in batches:
-            for found in shingles(batch.column(0).to_pylist(), n):
-                yield pa.RecordBatch.from_arrays([pa.array(found.view("i8"))], ["gram"])
-
-    counted = sample.select("text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n"))
-    rows = counted.filter("n >= 3").orderBy(F.desc("n"), "gram").limit(COMMON).collect()
-    found = np.array([r.gram for r in rows], "i8").view("u8")
-    counts = np.array([r.n for r in rows], "i8")
-    order = np.argsort(found)
-    return found[order], counts[order]
+    A set is dealt by its own class, and by the one below if a smaller set that
+    is linked with it can be there. A pair meets in the class of the smaller. Of
+    sizes a and b linked sets differ in at most (a + b)(100 - percent) / (100 +
+    percent) members, so with one part more they are equal in one. Parts that
+    are empty would bring unrelated sets together: there are some parts beyond
+    that, and a set with no more empty ones than those shows none of them.
+    """
+    size, classes = len(found), size_classes()
+    own = bisect_right(classes, size) - 1
+    least = -(-percent * size // 100)
+    # The share of parts that are empty in the smallest sets of a class, twice.
+    slack = 2 * math.exp(-(100 + percent) / (100 - percent) / (1 + 100 / percent) / SIZE_CLASS)
+    weight, place, out = mixed(found), found >> np.uint64(32), []
+    for k in range(bisect_right(classes, least) - 1, own + 1):
+        most = classes[k + 1] - 1
+        apart = (most + 100 * most // percent) * (100 - percent) // (100 + percent)
+        spare = EMPTY_PARTS + int(slack * apart) if apart else 0
+        parts = apart + 1 + spare
+        held = np.zeros(parts, np.uint64)
+        at = (place * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        np.add.at(held, at, weight)
+        ids = mixed(held + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(k << 40)))
+        filled = np.bincount(at, minlength=parts) > 0
+        out.append(ids[filled] if parts - filled.sum() <= spare else ids)
+    return np.concatenate(out)
+
+
+def sketch(found: np.ndarray) -> list[int]:
+    """The smallest hash of the set under each of a few hash functions."""
+    return [signed(int(mixed(found ^ np.uint64(k << 8)).min())) for k in range(1, SKETCH + 1)]
 
 
 def described(own: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, text_id, n, node, head, histogram) per row: its set's size, id, rarest members and bucket counts."""
-    common, counts = common_shingles(own, n)
+    """(doc_id, text_id, n, node, keys, parts, histogram) per row: its set's size, id, sketch, regions and bucket counts."""
     arrow = pa.schema(
-        [("doc_id", pa.int64()), ("text_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("head", pa.list_(pa.int64())), ("histogram", pa.list_(pa.int32()))]
+        [("doc_id", pa.int64()), ("text_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())]
+        + [("keys", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64())), ("histogram", pa.list_(pa.int32()))]
     )
 
     def run(batches):
         def rows():
             for batch in batches:
-                found_sets = shingles(batch.column(1).to_pylist(), n)
-                for doc_id, text_id, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), found_sets, strict=True):
+                sets = shingles(batch.column(1).to_pylist(), n)
+                for doc_id, text_id, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), sets, strict=True):
                     size = len(found)
                     if not size:
-                        yield doc_id, text_id, 0, None, None, None
+                        yield doc_id, text_id, 0, None, None, None, None
                         continue
-                    weight = np.zeros(size, np.int64)
-                    if len(common):
-                        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                        weight = np.where(common[at] == found, counts[at], 0)
-                    # One more than the prefix: pairs that share a member there share two among these.
-                    head = found[np.argsort(weight, kind="stable")[: prefix_size(size, percent) + 1]]
                     histogram = np.bincount((found & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-                    yield doc_id, text_id, size, set_id(found), head.view("i8"), histogram.astype("i4")
+                    yield doc_id, text_id, size, set_id(found), sketch(found), part_ids(found, percent).view("i8"), histogram.astype("i4")
 
-        yield from in_batches(rows(), arrow, 1024)
+        yield from in_batches(rows(), arrow, 512)
 
-    return own.withColumn("text_id", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_id long, n long, node long, head array<long>, histogram array<int>")
+    schema = "doc_id long, text_id long, n long, node long, keys array<long>, parts array<long>, histogram array<int>"
+    return own.withColumn("text_id", F.xxhash64("text")).mapInArrow(run, schema)
 
 
 def near_enough(least: Column) -> Column:
@@ -123,7 +144,10 @@ class Nodes:
         self.own, self.nodes, self.n = own, nodes, n
 
     def sketched(self, pairs: DataFrame) -> DataFrame:
-        side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("histogram").alias(f"histogram_{x}"))
+        pairs = written(pairs, "pairs")
+        taking = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        nodes = only_ids(self.nodes.select("node", "n", "histogram"), written(taking, "taking"), "node")
+        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("histogram").alias(f"histogram_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b")
 
     def distances(self, pairs: DataFrame) -> DataFrame:
@@ -182,30 +206,103 @@ def distance() -> Column:
     return 1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
 
 
-def regions(cells: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of cells, a < b, that share a region and could hold sets of matching sizes.
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def in_blocks(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """``rows`` with (i, j): groups of a key in blocks, each pair of blocks of a group a group of its own."""
+    counts = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    large = counts.filter("blocks > 1")
+    numbered = rows.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    numbered = numbered.withColumn("block", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int"))
+    numbered = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return numbered.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+
 
-    ``cells``: cell, n, head per node. A region is an n-gram of the prefix; one
-    of more than ``REGION_CELLS`` cells is split by each second n-gram of the
-    longer head, which linked sets share as well.
+def bounded_pairs(left: np.ndarray, right: np.ndarray, reach) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of ``left`` the rows of ``right`` that the histograms allow a similarity of ``reach(row)``."""
+    total_left, total_right = left.sum(1), right.sum(1)
+    for k, own in enumerate(left):
+        shared = np.minimum(own, right).sum(1)
+        yield k, np.flatnonzero(shared >= reach(k) * (total_left[k] + total_right - shared) - SLACK)
+
+
+def regions(rows: DataFrame, cells: DataFrame, wide: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of cells, a < b, that share a region and whose bounds leave room for a link.
+
+    Cells of a region meet in blocks; sizes, histograms of the pivots and radii
+    decide there, and only what they leave becomes a row.
     """
-    prefix = F.greatest(F.size("head") - 1, F.lit(1))
-    shown = cells.select("cell", "n", "head", F.explode(F.slice("head", F.lit(1), prefix)).alias("region"))
+    few = cells.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    cell_of = cells.select("node", "cell")
+    placed = rows.select("node", "n", "parts").join(F.broadcast(cell_of) if few else cell_of, "node")
+    shown = placed.select("cell", "n", F.explode("parts").alias("region"))
+    several = shown.groupBy("region").agg(F.min("cell").alias("first"), F.max("cell").alias("last")).filter("first < last")
+    shown = only_ids(shown, written(several.select("region"), "regions"), "region")
     held = shown.groupBy("region", "cell").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    sizes = held.groupBy("region").agg(F.count("*").alias("cells")).filter("cells > 1")
-    sizes = written(sizes, "regions")
-    small = held.join(sizes.filter(F.col("cells") <= REGION_CELLS).select("region"), "region")
-    large = shown.join(sizes.filter(F.col("cells") > REGION_CELLS).select("region"), "region")
-    second = large.select("region", "cell", "n", F.explode(F.when(F.size("head") > 1, F.col("head")).otherwise(F.array(F.lit(None).cast("long")))).alias("also"))
-    second = second.filter("also is null or also <> region")
-    split = second.select(F.xxhash64(F.least("region", "also"), F.greatest("region", "also")).alias("region"), "cell", "n")
-    split = split.groupBy("region", "cell").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    meeting = written(small.unionByName(split), "meeting")
-    left = meeting.select("region", F.col("cell").alias("a"), F.col("least").alias("least_a"), F.col("most").alias("most_a"))
-    right = meeting.select("region", F.col("cell").alias("b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"))
-    both = left.join(right, "region").filter("a < b")
-    fits = (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
-    return both.filter(fits).select("a", "b").distinct()
+    held = written(held, "held")
+    pivot = wide.join(nodes.select(F.col("node").alias("cell"), "histogram"), "cell")
+    pivot = only_ids(pivot, written(held.select("cell").distinct(), "held-cells"), "cell")
+    met = in_blocks(held, "region", "cell").join(pivot, "cell")
+    radius = 1 - percent / 100
+
+    def meet(batches):
+        def pairs():
+            for (_, i, j), (block, cell, least, most, wide_by, histogram) in runs_of(batches, 3):
+                left = np.flatnonzero(block == i)
+                right = left if i == j else np.flatnonzero(block == j)
+                reach = lambda k: 1 - (radius + wide_by[left[k]] + wide_by[right])  # noqa: B023, E731
+                for k, near in bounded_pairs(histogram[left], histogram[right], reach):
+                    x, others = left[k], right[near]
+                    fits = (100 * most[x] >= percent * least[others]) & (100 * most[others] >= percent * least[x])
+                    # Inside a block each pair once.
+                    fits &= (cell[others] > cell[x]) if i == j else (cell[others] != cell[x])
+                    for y in others[fits].tolist():
+                        yield int(min(cell[x], cell[y])), int(max(cell[x], cell[y]))
+
+        yield from in_batches(pairs(), PAIRS)
+
+    ordered = met.select("region", "i", "j", "block", "cell", "least", "most", "radius", "histogram").repartition("region", "i", "j")
+    return ordered.sortWithinPartitions("region", "i", "j").mapInArrow(meet, "a long, b long").distinct()
+
+
+def border_pairs(opened: DataFrame, cells: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of opened cells inside each other's windows.
+
+    ``opened``: (cell_a, cell_b, gap, radius_a, radius_b). The wider cell is the
+    host; its nodes meet the nodes of all cells opened with it, in blocks.
+    """
+    swap = F.col("radius_a") >= F.col("radius_b")
+    sides = opened.select(
+        F.when(swap, F.col("cell_a")).otherwise(F.col("cell_b")).alias("host"),
+        F.when(swap, F.col("cell_b")).otherwise(F.col("cell_a")).alias("cell"),
+        "gap",
+        F.greatest("radius_a", "radius_b").alias("host_radius"),
+    )
+    radius = 1 - percent / 100
+    member = cells.select("cell", "node", "distance")
+    guests = sides.join(member, "cell").filter(F.col("distance") >= F.col("gap") - radius - F.col("host_radius") - SLACK)
+    guests = guests.select("host", "node", "distance", "gap")
+    hosts = sides.select(F.col("host").alias("cell")).distinct().join(member, "cell").select(F.col("cell").alias("host"), "node", "distance")
+    rows = guests.withColumn("guest", F.lit(1)).unionByName(hosts.withColumns({"gap": F.lit(0.0), "guest": F.lit(0)}))
+    met = in_blocks(rows, "host", "node").join(nodes.select("node", "histogram"), "node")
+
+    def meet(batches):
+        def pairs():
+            for (_, i, j), (block, guest, node, distance, gap, histogram) in runs_of(batches, 3):
+                for one, two in {(i, j), (j, i)}:
+                    left = np.flatnonzero((guest == 1) & (block == one))
+                    right = np.flatnonzero((guest == 0) & (block == two))
+                    for k, near in bounded_pairs(histogram[left], histogram[right], lambda _: percent / 100):
+                        x, others = left[k], right[near]
+                        fits = (distance[x] + distance[others] >= gap[x] - radius - SLACK) & (node[others] != node[x])
+                        for y in others[fits].tolist():
+                            yield int(min(node[x], node[y])), int(max(node[x], node[y]))
+
+        yield from in_batches(pairs(), PAIRS)
+
+    ordered = met.select("host", "i", "j", "block", "guest", "node", "distance", "gap", "histogram").repartition("host", "i", "j")
+    return ordered.sortWithinPartitions("host", "i", "j").mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -221,28 +318,29 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = written(described(own, n, percent), "described")
-    nodes = rows.filter("node is not null and doc_id is not null").groupBy("node")
-    nodes = written(nodes.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("histogram").alias("histogram")), "nodes")
+    taking = rows.filter("node is not null and doc_id is not null")
+    same = [F.first(c).alias(c) for c in ("n", "keys", "histogram")]
+    nodes = written(taking.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *same), "nodes")
     meet = Nodes(own, nodes, n)
     threshold = percent / 100
     radius = 1 - threshold
 
     # 1. Pivots and their cells.
-    keys = nodes.select("node", F.explode(F.slice("head", 1, 2)).alias("key"))
+    keys = nodes.select("node", F.explode("keys").alias("key"))
     pivots = written(keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("last <> b").select("key", "b"), "pivots")
     tried = keys.join(pivots, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     tried = meet.sketched(tried).filter(near_enough(F.lit(threshold))).select("a", "b")
     found = written(meet.distances(tried).filter(linked(percent)).select("a", "b", distance().alias("distance")), "stars")
     nearest = found.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("distance", "b")).alias("best"))
-    celled = nodes.select("node", "n", "head").join(nearest, "node", "left")
-    cells = written(celled.select("node", "n", "head", F.coalesce("best.b", "node").alias("cell"), F.coalesce("best.distance", F.lit(0.0)).alias("distance")), "cells")
+    celled = nodes.select("node").join(nearest, "node", "left")
+    cells = written(celled.select("node", F.coalesce("best.b", "node").alias("cell"), F.coalesce("best.distance", F.lit(0.0)).alias("distance")), "cells")
 
     # 2. Cells that share a region.
     wide = written(cells.groupBy("cell").agg(F.max("distance").alias("radius")), "radii")
     side = lambda x: wide.select(F.col("cell").alias(x), F.col("radius").alias(f"radius_{x}"))
-    facing = regions(cells.select("cell", "n", "head"), percent).join(side("a"), "a").join(side("b"), "b")
+    facing = written(regions(taking, cells, wide, nodes, percent), "facing")
+    facing = facing.join(side("a"), "a").join(side("b"), "b")
     reach = F.lit(radius) + F.col("radius_a") + F.col("radius_b")
-    facing = written(meet.sketched(facing).filter(near_enough(1 - reach)).select("a", "b", "radius_a", "radius_b"), "facing")
     apart = written(meet.distances(facing.select("a", "b")).join(facing, ["a", "b"]), "apart")
     links = found.select("a", "b").unionByName(apart.filter(linked(percent)).select("a", "b"))
     labels = components(links)
@@ -254,10 +352,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     opened = opened.filter(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select(F.col("a").alias("cell_a"), F.col("b").alias("cell_b"), "gap", "radius_a", "radius_b")
     opened = written(opened, "opened")
     if not opened.isEmpty():
-        member = lambda x: cells.select(F.col("cell").alias(f"cell_{x}"), F.col("node").alias(x), F.col("distance").alias(f"distance_{x}"))
-        left = opened.join(member("a"), "cell_a").filter(F.col("distance_a") >= F.col("gap") - radius - F.col("radius_b") - SLACK)
-        border = left.join(member("b"), "cell_b").filter(F.col("distance_a") + F.col("distance_b") >= F.col("gap") - radius - SLACK)
-        border = meet.sketched(border.select("a", "b").distinct()).filter(near_enough(F.lit(threshold))).select("a", "b")
+        border = border_pairs(opened, cells, nodes, percent)
         more = written(meet.distances(border).filter(linked(percent)).select("a", "b"), "border")
         if not more.isEmpty():
             labels = components(links.unionByName(more))

@@ -92,7 +92,7 @@ def repeated_ranges(own: DataFrame, width: int) -> DataFrame:
 
     def anchor(batches):
         for batch in batches:
-            ids = word_ids([(t or "").encode() for t in batch.column(1).to_pylist()])
+            ids = word_ids((t or "").encode() for t in batch.column(1).to_pylist())
             for doc_id, identity, words in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), ids, strict=True):
                 found = segments(words, width)
                 n = len(found[0])
@@ -124,7 +124,7 @@ def repeated_ranges(own: DataFrame, width: int) -> DataFrame:
     def fetch(batches):
         def all_rows():
             for batch in batches:
-                texts_ids = word_ids([t.encode() for t in batch.column(0).to_pylist()])
+                texts_ids = word_ids(t.encode() for t in batch.column(0).to_pylist())
                 for ids, asked in zip(texts_ids, batch.column(1).to_pylist(), strict=True):
                     for a in asked:
                         part = ids[a["first"] : a["first"] + a["words"]]
