@@ -1,0 +1,131 @@
+"""Jaccard join, substring dedup and line dedup against brute force."""
+
+import random
+import sys
+
+import numpy as np
+import pytest
+
+sys.path.insert(0, str(__import__("pathlib").Path(__file__).parent))
+from conftest import brute_components, brute_lines, brute_windows, collected, prose  # noqa: E402
+
+from mandatewatch.llm import common, fm_index, jaccard_regions, line_dedup, substring_dedup
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_components(docs, rows, n, percent):
+    found = jaccard_regions.near_duplicates(docs, n, percent)
+    assert collected(found, "doc_id", "n_shingles", "component_id") == brute_components(rows, n, percent)
+
+
+def test_linked_sets_share_a_part():
+    rng = np.random.default_rng(8)
+    for percent in (67, 80, 90, 99):
+        for _ in range(300):
+            size = int(rng.integers(1, 130))
+            a = np.unique(rng.integers(0, 2**63, size).astype("u8"))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.uniform(0, 0.3)], rng.integers(0, 2**63, int(rng.integers(0, 12))).astype("u8")]))
+            both = len(np.intersect1d(a, b))
+            if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+                assert set(jaccard_regions.part_ids(a, percent).tolist()) & set(jaccard_regions.part_ids(b, percent).tolist())
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_jaccard_chain_of_cells(spark, monkeypatch, block):
+    """Chains drift away from their first member; regions and cells of several blocks."""
+    monkeypatch.setattr(jaccard_regions, "BLOCK_ROWS", block)
+    rng = random.Random(3)
+    rows = []
+    for family in range(4):
+        text = prose(rng, 150).split()
+        for _ in range(25):
+            rows.append((len(rows) * 7 % 1000, " ".join(text)))
+            for _ in range(rng.choice([1, 2, 4])):
+                text[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_regions.near_duplicates(df, 3, 90)
+    assert collected(found, "doc_id", "n_shingles", "component_id") == brute_components(rows, 3, 90)
+
+
+def test_one_per_group_keeps_clean_rows(docs, rows):
+    kept = jaccard_regions.one_per_group(docs, 5, 80)
+    assert kept.columns == docs.columns
+    names = [r.doc_id for r in kept.select("doc_id").collect()]
+    groups = brute_components(rows, 5, 80)
+    stay = {c for d, n, c in groups if d is not None and n}
+    assert stay <= set(names)
+    assert names.count(5) == 1 and names.count(None) == 2
+    assert sum(1 for d, n, _ in groups if d is None or not n) + len(stay) <= len(names) <= len(rows)
+
+
+@pytest.mark.parametrize("width", [35, 6])
+def test_substrings(docs, rows, width):
+    found = substring_dedup.digest(substring_dedup.drop_repeated(docs, width))
+    assert collected(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows, width)
+
+
+def test_substrings_of_hot_anchors(docs, rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", 2)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 200)
+    found = substring_dedup.digest(substring_dedup.drop_repeated(docs, 12))
+    assert collected(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows, 12)
+
+
+def test_substring_stage_leaves_clean_texts(docs, rows):
+    after = substring_dedup.without_repeats(docs, 35)
+    assert after.columns == docs.columns
+    removed = {(d, n, k) for d, n, k, _ in brute_windows(rows, 35)}
+    for r in after.select("doc_id", "text").collect():
+        if all(k == 0 for d, _, k in removed if d == r.doc_id):
+            assert r.text in [t for d, t in rows if d == r.doc_id]
+
+
+def test_fm_index_counts_windows():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        width = int(rng.integers(2, 7))
+        texts = [rng.integers(0, int(rng.integers(1, 5)), int(rng.integers(width, 20))).astype("u8") for _ in range(int(rng.integers(1, 9)))]
+        weights = rng.integers(1, 3, len(texts))
+        counts: dict[bytes, int] = {}
+        for t, w in zip(texts, weights, strict=True):
+            for s in range(len(t) - width + 1):
+                counts[t[s : s + width].tobytes()] = counts.get(t[s : s + width].tobytes(), 0) + int(w)
+        for t, flags in zip(texts, fm_index.repeated_windows(texts, weights, width), strict=True):
+            assert flags.tolist() == [counts[t[s : s + width].tobytes()] > 1 for s in range(len(t) - width + 1)]
+
+
+def test_lines(docs, rows):
+    found = line_dedup.digest(line_dedup.drop_repeated_lines(docs))
+    assert collected(found, "doc_id", "n_lines", "n_dropped", "kept_sha256") == brute_lines(rows)
+    three = line_dedup.drop_repeated_lines(docs, min_docs=1000)
+    assert three.agg({"n_dropped": "sum"}).first()[0] == 0
+
+
+def test_line_stage_keeps_all_rows_and_columns(docs, rows):
+    after = line_dedup.without_repeated_lines(docs)
+    assert after.columns == docs.columns
+    assert after.count() == len(rows)
+
+
+def test_empty_tables(no_docs):
+    assert jaccard_regions.near_duplicates(no_docs).count() == 0
+    assert jaccard_regions.one_per_group(no_docs).count() == 0
+    assert substring_dedup.drop_repeated(no_docs).count() == 0
+    assert line_dedup.drop_repeated_lines(no_docs).count() == 0
+
+
+def test_word_ids_group_chunks_and_long_words(monkeypatch):
+    texts = ["a b  c", "", "x" * 300 + " y", "\t", "a " * 500, "last"]
+    whole = [w.tolist() for w in common.word_ids([t.encode() for t in texts])]
+    assert [len(w) for w in whole] == [len(t.split()) for t in texts]
+    monkeypatch.setattr(common, "CHUNK", 64)
+    monkeypatch.setattr(common, "GROUP", 32)
+    assert [w.tolist() for w in common.word_ids([t.encode() for t in texts])] == whole
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(5, 5), (200, 150)]
+    found = common.components(spark.createDataFrame(edges, "a long, b long"))
+    labels = {r.id: r.component for r in found.collect()}
+    assert all(labels[k] == 0 for k in range(41)) and all(labels[k] == 100 for k in range(100, 130))
+    assert labels[200] == 150 and common.components(spark.createDataFrame([], "a long, b long")).count() == 0
