@@ -72,11 +72,10 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
 
     A letter that is no piece has an edge without an id, scored below any piece.
     """
-    reach = lambda start: F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.char_length("word") - start))
-    starts = F.sequence(F.lit(0), F.char_length("word") - 1)
-    spans = F.flatten(F.transform(starts, lambda s: F.transform(reach(s), lambda n: F.struct(s.alias("start"), n.alias("n")))))
-    spread = words.select("word", F.explode(spans).alias("span"))
-    spread = spread.select("word", "span.*", F.substr("word", F.col("span.start") + 1, F.col("span.n")).alias("piece"))
+    reach = F.least(F.lit(pieces.longest), F.char_length("word") - F.col("start"))
+    spread = words.select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("start"))
+    spread = spread.select("word", "start", F.explode(F.sequence(F.lit(1), reach)).alias("n"))
+    spread = spread.select("word", "start", "n", F.substr("word", F.col("start") + 1, F.col("n")).alias("piece"))
     met = spread.join(F.broadcast(pieces.table), "piece", "left").filter("id is not null or n = 1")
     edge = F.struct((F.col("start") + F.col("n")).alias("stop"), "start", "id", F.coalesce("score", F.lit(-1e12)).alias("score"))
     return met.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
