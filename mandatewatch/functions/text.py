@@ -65,15 +65,6 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _weight_sum(own: Column, distinct: Column, other: Column) -> Column:
-    def squared(term):
-        count = F.size(F.filter(own, lambda x: x == term))
-        idf = F.when(F.array_contains(other, term), F.lit(1.0)).otherwise(F.lit(SINGLE_SIDE_IDF))
-        return F.pow(count * idf, F.lit(2.0))
-
-    return F.aggregate(distinct, F.lit(0.0), lambda acc, t: acc + squared(t))
-
-
 def divergence_from_sums(dot: Column, left: Column, right: Column) -> Column:
     """1 - cosine from the dot product and both squared norms."""
     return F.when((left > 0) & (right > 0), 1.0 - dot / (F.sqrt(left) * F.sqrt(right))).when(
@@ -82,30 +73,39 @@ def divergence_from_sums(dot: Column, left: Column, right: Column) -> Column:
 
 
 def _counted_divergence(utterance_terms: Column, artifact_terms: Column) -> Column:
-    def from_terms(t):
-        a, b, da, db = t["a"], t["b"], t["da"], t["db"]
-        dot = F.aggregate(
-            F.array_intersect(da, db),
-            F.lit(0.0),
-            lambda acc, x: acc + F.size(F.filter(a, lambda y: y == x)) * F.size(F.filter(b, lambda y: y == x)),
+    """With repeated terms: both sides sorted together, so each term is one run to count."""
+    one, none = F.lit(1.0), F.lit(0.0)
+    tagged = F.array_sort(
+        F.concat(
+            F.transform(utterance_terms, lambda t: F.struct(t.alias("term"), one.alias("a"), none.alias("b"))),
+            F.transform(artifact_terms, lambda t: F.struct(t.alias("term"), none.alias("a"), one.alias("b"))),
         )
-        sums = F.struct(dot.alias("dot"), _weight_sum(a, da, db).alias("x"), _weight_sum(b, db, da).alias("y"))
-        return bound(sums, lambda s: divergence_from_sums(s["dot"], s["x"], s["y"]))
+    )
 
-    def with_distinct(t):
-        both = F.struct(
-            t["a"].alias("a"), t["b"].alias("b"), F.array_distinct(t["a"]).alias("da"), F.array_distinct(t["b"]).alias("db")
-        )
-        return bound(both, from_terms)
+    def state(term: Column, *numbers: Column) -> Column:
+        return F.struct(term.alias("term"), *[n.alias(c) for c, n in zip(("a", "b", "dot", "x", "y"), numbers)])
+
+    def closed(s: Column) -> tuple[Column, Column, Column]:
+        idf = F.when((s["a"] > 0) & (s["b"] > 0), F.lit(1.0)).otherwise(F.lit(SINGLE_SIDE_IDF))
+        return s["dot"] + s["a"] * s["b"], s["x"] + F.pow(s["a"] * idf, F.lit(2.0)), s["y"] + F.pow(s["b"] * idf, F.lit(2.0))
+
+    def step(s: Column, e: Column) -> Column:
+        again = state(s["term"], s["a"] + e["a"], s["b"] + e["b"], s["dot"], s["x"], s["y"])
+        fresh = state(e["term"], e["a"], e["b"], *closed(s))
+        return F.when(F.coalesce(s["term"] == e["term"], F.lit(False)), again).otherwise(fresh)
+
+    def finish(s: Column) -> Column:
+        dot, left, right = closed(s)
+        return divergence_from_sums(dot, left, right)
 
-    return bound(F.struct(utterance_terms.alias("a"), artifact_terms.alias("b")), with_distinct)
+    return F.aggregate(tagged, state(F.lit(None).cast("string"), *[none] * 5), step, finish)
 
 
 def lexical_divergence(utterance: Column, artifact: Column) -> Column:
     """1 - TF-IDF cosine of two short texts, the idf fitted on just these two.
 
-    Row-local, so it suits utterances and signed intents. Cost is quadratic in
-    the words of a row that repeats some: long texts go through ``operators.text_pairs``.
+    Row-local; its cost grows with the words as a sort does. Texts that no task
+    should hold as one array go through ``operators.text_pairs``.
     """
 
     a, b = terms(utterance), terms(artifact)
