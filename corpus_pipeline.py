@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from mandatewatch.llm import byte_convnet, jaccard_regions, line_dedup, residual_packing, substring_dedup
 from mandatewatch.llm.common import table, written
 
-#: A document goes if no language reaches this mean probability; with none of its letters known, nothing does.
-LEAST_SCORE = 0.35
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter, or without a likely language, go."""
-    return byte_convnet.keep_known(docs, byte_convnet.train(docs), LEAST_SCORE)
+    """Language ID: documents of no language (null, or without a letter) go.
+
+    A low score alone rejects nothing: short clean texts next to a licence line
+    score as low as any.
+    """
+    return byte_convnet.keep_known(docs, byte_convnet.train(docs))
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

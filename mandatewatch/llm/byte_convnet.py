@@ -27,6 +27,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 #: The fit reads at most this many documents of each language, and of each one window from a hashed place.
 SAMPLE_PER_LANGUAGE = 1024
+#: Before that, about so many times the sample are drawn by another hash.
+THINNED = 4
 STEPS, BATCH, RATE, SEED = 240, 96, 0.02, 7
 #: Windows that are scored at a time.
 AT_ONCE = 48
@@ -196,6 +198,11 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: int =
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     ).filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
     place = F.xxhash64("doc_id", F.lit(seed))
+    # Only a few times as many rows as are wanted of a language come to its sort.
+    sizes = docs.select(F.col("lang").cast("string").alias("lang")).groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.lit(float(THINNED * per_language)) / F.col("rows")
+    thin = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 30)) < share * (1 << 30)
+    labelled = labelled.join(sizes, "lang").filter(thin)
     drawn = labelled.select(
         "lang",
         place.alias("place"),
@@ -227,8 +234,13 @@ def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PREDICTED)
 
 
-def keep_known(docs: DataFrame, net: ByteNet, min_score: float) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language found with ``min_score`` or more."""
+def keep_known(docs: DataFrame, net: ByteNet, min_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language found with ``min_score`` or more.
+
+    A network that was trained on nothing rejects nothing.
+    """
+    if not net.labels:
+        return docs
     schema = docs.schema
     at = schema.names.index("text")
 
