@@ -12,7 +12,8 @@ the regions pivots take over:
    Voronoi cell, at a known distance, and is linked with it.
 2. Regions are then joined cell by cell, in blocks. By the triangle inequality
    two cells whose pivots are further apart than the threshold plus both radii
-   hold no linked pair.
+   hold no linked pair. First each cell meets its likeliest partner, then all
+   others that are not in its component yet.
 3. Cells that are neither pruned nor linked yet are opened: a document goes to
    the other cell only if its distance from its own pivot puts it into the
    window along the border, and the pairs are compared exactly.
@@ -227,42 +228,56 @@ def bounded_pairs(left: np.ndarray, right: np.ndarray, reach) -> Iterator[tuple[
         yield k, np.flatnonzero(shared >= reach(k) * (total_left[k] + total_right - shared) - SLACK)
 
 
-def regions(rows: DataFrame, cells: DataFrame, wide: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of cells, a < b, that share a region and whose bounds leave room for a link.
-
-    Cells of a region meet in blocks; sizes, histograms of the pivots and radii
-    decide there, and only what they leave becomes a row.
-    """
+def shared_regions(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """(region, cell, least, most): regions of several cells, with the sizes of each cell's sets there."""
     few = cells.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     cell_of = cells.select("node", "cell")
     placed = rows.select("node", "n", "parts").join(F.broadcast(cell_of) if few else cell_of, "node")
     shown = placed.select("cell", "n", F.explode("parts").alias("region"))
     several = shown.groupBy("region").agg(F.min("cell").alias("first"), F.max("cell").alias("last")).filter("first < last")
     shown = only_ids(shown, written(several.select("region"), "regions"), "region")
-    held = shown.groupBy("region", "cell").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    held = written(held, "held")
+    return written(shown.groupBy("region", "cell").agg(F.min("n").alias("least"), F.max("n").alias("most")), "held")
+
+
+def facing_cells(held: DataFrame, wide: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Distinct pairs (a, b) of cells, a < b, of one region and two components, whose bounds leave room for a link.
+
+    Cells of a region meet in blocks; sizes, histograms of the pivots and radii
+    decide there, and only what they leave becomes a row. With ``best`` each cell
+    of a block names its likeliest partner only.
+    """
+    own = held.join(labels.select(F.col("id").alias("cell"), "component"), "cell", "left")
+    own = own.withColumn("component", F.coalesce("component", "cell"))
+    # Regions inside one component hold nothing new.
+    mixed_ones = own.groupBy("region").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first < last")
+    own = own.join(mixed_ones.select("region"), "region")
     pivot = wide.join(nodes.select(F.col("node").alias("cell"), "histogram"), "cell")
-    pivot = only_ids(pivot, written(held.select("cell").distinct(), "held-cells"), "cell")
-    met = in_blocks(held, "region", "cell").join(pivot, "cell")
+    own = written(own, "mixed-regions")
+    pivot = only_ids(pivot, written(own.select("cell").distinct(), "mixed-cells"), "cell")
+    met = in_blocks(own, "region", "cell").join(pivot, "cell")
     radius = 1 - percent / 100
 
     def meet(batches):
         def pairs():
-            for (_, i, j), (block, cell, least, most, wide_by, histogram) in runs_of(batches, 3):
+            for (_, i, j), (block, cell, component, least, most, wide_by, histogram) in runs_of(batches, 3):
                 left = np.flatnonzero(block == i)
                 right = left if i == j else np.flatnonzero(block == j)
                 reach = lambda k: 1 - (radius + wide_by[left[k]] + wide_by[right])  # noqa: B023, E731
                 for k, near in bounded_pairs(histogram[left], histogram[right], reach):
                     x, others = left[k], right[near]
                     fits = (100 * most[x] >= percent * least[others]) & (100 * most[others] >= percent * least[x])
-                    # Inside a block each pair once.
-                    fits &= (cell[others] > cell[x]) if i == j else (cell[others] != cell[x])
-                    for y in others[fits].tolist():
+                    fits &= component[others] != component[x]
+                    if not best and i == j:
+                        fits &= cell[others] > cell[x]  # each pair once
+                    others = others[fits]
+                    if best and len(others):
+                        others = others[np.minimum(histogram[x], histogram[others]).sum(1).argmax()][None]
+                    for y in others.tolist():
                         yield int(min(cell[x], cell[y])), int(max(cell[x], cell[y]))
 
         yield from in_batches(pairs(), PAIRS)
 
-    ordered = met.select("region", "i", "j", "block", "cell", "least", "most", "radius", "histogram").repartition("region", "i", "j")
+    ordered = met.select("region", "i", "j", "block", "cell", "component", "least", "most", "radius", "histogram").repartition("region", "i", "j")
     return ordered.sortWithinPartitions("region", "i", "j").mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -338,11 +353,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # 2. Cells that share a region.
     wide = written(cells.groupBy("cell").agg(F.max("distance").alias("radius")), "radii")
     side = lambda x: wide.select(F.col("cell").alias(x), F.col("radius").alias(f"radius_{x}"))
-    facing = written(regions(taking, cells, wide, nodes, percent), "facing")
-    facing = facing.join(side("a"), "a").join(side("b"), "b")
     reach = F.lit(radius) + F.col("radius_a") + F.col("radius_b")
-    apart = written(meet.distances(facing.select("a", "b")).join(facing, ["a", "b"]), "apart")
-    links = found.select("a", "b").unionByName(apart.filter(linked(percent)).select("a", "b"))
+    held = shared_regions(taking, cells)
+
+    def told(facing: DataFrame) -> DataFrame:
+        facing = written(facing.join(side("a"), "a").join(side("b"), "b"), "facing")
+        return written(meet.distances(facing.select("a", "b")).join(facing, ["a", "b"]), "apart")
+
+    # Likeliest partners first: they connect most of a dense group, and what is connected need not be compared.
+    links = found.select("a", "b")
+    first = told(facing_cells(held, wide, nodes, components(links), percent, True))
+    links = links.unionByName(first.filter(linked(percent)).select("a", "b"))
+    rest = facing_cells(held, wide, nodes, components(links), percent, False).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = told(rest)
+    apart = first.unionByName(second)
+    links = links.unionByName(second.filter(linked(percent)).select("a", "b"))
     labels = components(links)
 
     # 3. Cells near each other whose documents are not connected yet.
