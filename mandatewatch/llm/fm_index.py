@@ -60,19 +60,19 @@ class FmIndex:
 
     @staticmethod
     def _order(text: np.ndarray, depth: int) -> np.ndarray:
-        """Positions sorted by the ``depth`` or more symbols from there on, by tripling."""
+        """Positions sorted by the ``depth`` or more symbols from there on, by tripling or doubling."""
         rank, step = text, 1
         while step < depth:
-            # Three ranks in one number: sorted by three times as many symbols at once.
+            # Three ranks in one number: sorted by three times as many symbols at once; two, where three do not fit.
             size = int(rank.max()) + 2
-            if size >= 1 << 21:
-                raise ValueError("too many symbols for one index")
             both = rank * size
             both[:-step] += rank[step:] + 1
-            both *= size
-            both[: -2 * step] += rank[2 * step :] + 1
+            three = size < 1 << 21
+            if three:
+                both *= size
+                both[: -2 * step] += rank[2 * step :] + 1
             rank = np.unique(both, return_inverse=True)[1]
-            step *= 3
+            step *= 3 if three else 2
         return np.argsort(rank, kind="stable")
 
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -15,7 +15,10 @@ place. The windows of one anchor form one segment. Then
 
 An anchor with many distinct segments (a passage shared by many documents with
 different surroundings) is dealt window by window, keyed by the window's outer
-words too, after copies are summed, so that no shard gets all of it.
+words too, after copies are summed, so that no shard gets all of it. A template
+with a varying word inside has as many windows with the same outer words as there
+are documents, so a part of the window's own hash is in the key as well, dealing
+an anchor's windows to as many keys as they fill indexes.
 """
 
 from __future__ import annotations
@@ -109,10 +112,12 @@ def repeated_ranges(own: DataFrame, width: int) -> DataFrame:
     # One example of each distinct segment, with its copies.
     example = F.min(F.struct("doc_id", "text_id", "first")).alias("example")
     distinct = written(rows.groupBy("anchor", "segment", "words").agg(F.count("*").alias("copies"), example), "segments")
-    kinds = written(distinct.groupBy("anchor").agg((F.count("*") > HOT_SEGMENTS).alias("hot")), "kinds")
+    # Keys for the windows under the same outer words, 0 for an anchor that is not hot.
+    filled = F.floor(F.sum(F.col("words") - (width - 1)) * width / SHARD_WORDS) + 1
+    kinds = written(distinct.groupBy("anchor").agg(F.when(F.count("*") > HOT_SEGMENTS, filled).otherwise(0).alias("salts")), "kinds")
     wanted = distinct.join(kinds, "anchor")
     wanted = wanted.groupBy("example.doc_id", "example.text_id").agg(
-        F.collect_list(F.struct("anchor", "segment", "words", "copies", "example.first", "hot")).alias("wanted")
+        F.collect_list(F.struct("anchor", "segment", "words", "copies", "example.first", "salts")).alias("wanted")
     )
     wanted = written(wanted, "wanted")
     texts = only_ids(own, wanted.select("doc_id").distinct(), "doc_id").join(wanted, ["doc_id", "text_id"]).select("text", "wanted")
@@ -128,12 +133,14 @@ def repeated_ranges(own: DataFrame, width: int) -> DataFrame:
                 for ids, asked in zip(texts_ids, batch.column(1).to_pylist(), strict=True):
                     for a in asked:
                         part = ids[a["first"] : a["first"] + a["words"]]
-                        if not a["hot"]:
+                        if not a["salts"]:
                             yield a["anchor"], a["segment"], a["copies"], a["anchor"], a["segment"], 0, part.tobytes()
                             continue
                         at = np.arange(len(part) - width + 1)
                         own_ids = Runs(part).grams(width)
                         outer = mixed(mixed(part[at] + np.uint64(a["anchor"] & (2**64 - 1))) + part[at + width - 1])
+                        # Equal windows have the same hash, so they keep the same key.
+                        outer = mixed(outer + own_ids % np.uint64(a["salts"]))
                         for s in at.tolist():
                             yield signed(int(outer[s])), signed(int(own_ids[s])), a["copies"], a["anchor"], a["segment"], s, part[s : s + width].tobytes()
 

@@ -71,6 +71,35 @@ def test_substrings_of_hot_anchors(docs, rows, monkeypatch):
     assert collected(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows, 12)
 
 
+def test_substrings_of_a_template_with_a_varying_word(spark, monkeypatch):
+    """All windows over the varying word have the same anchor and outer words; none of the indexes gets them all."""
+    monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", 20)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 600)
+    repeated = fm_index.repeated_windows
+
+    def bounded(texts, weights, width):
+        assert sum(map(len, texts)) <= 3 * 600, "index too large"
+        return repeated(texts, weights, width)
+
+    monkeypatch.setattr(substring_dedup, "repeated_windows", bounded)
+    words = [f"t{k}" for k in range(40)]
+    # Every tenth name stands in two documents, whose windows repeat as a whole.
+    rows = [(k, " ".join([*words[:20], f"name{k - 1 if k % 10 == 9 else k}", *words[20:]])) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = substring_dedup.digest(substring_dedup.drop_repeated(df, 12))
+    assert collected(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows, 12)
+
+
+def test_fm_index_order_beyond_three_ranks():
+    text = np.random.default_rng(6).permutation((1 << 21) + 9)
+    assert (fm_index.FmIndex._order(text, 35) == np.argsort(text)).all()
+    small = np.random.default_rng(7).integers(1, 3, 500)
+    wide = np.concatenate([small, np.arange(3, (1 << 21) + 9)])
+    order = fm_index.FmIndex._order(wide, 4)
+    head = [tuple(wide[k : k + 4]) for k in order[:400].tolist()]
+    assert head == sorted(head)
+
+
 def test_substring_stage_leaves_clean_texts(docs, rows):
     after = substring_dedup.without_repeats(docs, 35)
     assert after.columns == docs.columns
