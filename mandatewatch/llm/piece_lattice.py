@@ -11,7 +11,8 @@ partitions that the distinct words are in already, and folded with ``aggregate``
   for BPE models, whose encodings a best path does not give.
 
 Texts are then met with the encoded words: the most frequent, a fixed number,
-are broadcast; the other occurrences are joined by word.
+are broadcast; the other occurrences are joined by word. The ids of a text, in
+order, are decoded row by row from the piece table, which is a constant there.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ class Pieces:
     longest: int
     first_byte: int
     unknown: int
+    spelled: str  # the bytes of every id in hex, parted by commas
 
     @classmethod
     def of(cls, spark: SparkSession, path: str) -> Pieces:
@@ -58,7 +60,10 @@ class Pieces:
     @classmethod
     def from_rows(cls, spark: SparkSession, rows: list[tuple[str, int, float]], first_byte: int, unknown: int = 0) -> Pieces:
         table = spark.createDataFrame(rows, "piece string, id int, score double")
-        return cls(table, max(len(p) for p, _, _ in rows), first_byte, unknown)
+        data = {} if first_byte == unknown else {first_byte + b: f"{b:02X}" for b in range(256)}
+        data |= {k: p.encode().hex().upper() for p, k, _ in rows}
+        spelled = ",".join(data.get(k, "") for k in range(max(data) + 1))
+        return cls(table, max(len(p) for p, _, _ in rows), first_byte, unknown, spelled)
 
 
 def words_of(text: Column) -> Column:
@@ -167,57 +172,62 @@ def dictionary(docs: DataFrame, pieces: Pieces, fold: str = "merge") -> DataFram
     return written(counted.join(encoded_words(distinct, pieces, fold), "word"), "encoded-words")
 
 
-def per_document(docs: DataFrame, words: DataFrame, *sums: Column) -> DataFrame:
-    """Sums over the words of each document: columns of ``at``, ``ids`` and ``round_trip``, which add up over tasks."""
-    frequent = words.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids")
-    frequent = written(frequent, "frequent")
-    met = occurrences(docs).join(F.broadcast(frequent), "word", "left")
-    names = [f"s{k}" for k in range(len(sums))]
-    partial = lambda df: df.groupBy("doc_id", "row").agg(*(F.sum(s).alias(n) for s, n in zip(sums, names, strict=True)))
-    common = partial(met.filter("ids is not null"))
-    rare = occurrences(docs).join(frequent.select("word"), "word", "left_anti").join(words.select("word", "ids"), "word")
-    return common.unionByName(partial(rare)).groupBy("doc_id", "row").agg(*(F.sum(n).alias(n) for n in names))
+def encoded_parts(docs: DataFrame, pieces: Pieces, fold: str = "merge") -> DataFrame:
+    """(doc_id, text_hash, parts) per distinct (doc_id, text): structs of a word's place and ids, in order.
 
-
-def encode(docs: DataFrame, pieces: Pieces, fold: str = "merge") -> DataFrame:
-    """(doc_id, ids) per distinct (doc_id, text); a null or empty text has no ids. Other columns are ignored."""
-    words = dictionary(docs, pieces, fold)
-    met = occurrences(docs).join(words.select("word", "ids"), "word")
+    A null or empty text has no parts; ``text_hash`` takes null as empty.
+    """
+    words = dictionary(docs, pieces, fold).select("word", "n", "ids")
+    frequent = written(words.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids"), "frequent")
+    common = occurrences(docs).join(F.broadcast(frequent), "word")
+    rare = words.join(frequent.select("word"), "word", "left_anti").select("word", "ids")
+    met = common.unionByName(occurrences(docs).join(F.broadcast(frequent.select("word")), "word", "left_anti").join(rare, "word"))
     listed = met.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("at", "ids"))).alias("parts"))
     text = F.col("text").cast("string")
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row")).distinct()
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")).distinct()
     same = every["doc_id"].eqNullSafe(listed["doc_id"]) & (every["row"] == listed["row"])
-    ids = F.coalesce(F.flatten(F.transform("parts", lambda p: p["ids"])), F.array().cast("array<int>"))
-    return every.join(listed, same, "left").select(every["doc_id"], ids.alias("ids"))
+    parts = F.coalesce("parts", F.array().cast("array<struct<at:int,ids:array<int>>>"))
+    return every.join(listed, same, "left").select(every["doc_id"], "text_hash", parts.alias("parts"))
 
 
-def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
-    """(doc_id, text) per row of (doc_id, ids): pieces and bytes end to end, borders as spaces, without the first."""
-    spelled = pieces.table.select("id", F.encode("piece", "UTF-8").alias("data"))
-    byte = pieces.table.sparkSession.range(256).select((F.col("id") + pieces.first_byte).cast("int").alias("id"), F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("data"))
-    numbered = encoded.select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))
-    numbered = written(numbered, "to-decode")
-    each = numbered.select("doc_id", "row", F.posexplode_outer("ids").alias("at", "id"))
-    met = each.join(F.broadcast(spelled.unionByName(byte)), "id", "left")
-    joined = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("at", F.hex("data").alias("data")))).alias("parts"))
-    data = F.unhex(F.array_join(F.transform("parts", lambda p: p["data"]), ""))
+def ids_of_parts() -> Column:
+    return F.flatten(F.transform("parts", lambda p: p["ids"]))
+
+
+def encode(docs: DataFrame, pieces: Pieces, fold: str = "merge") -> DataFrame:
+    """(doc_id, ids) per distinct (doc_id, text); a null or empty text has no ids. Other columns are ignored."""
+    return encoded_parts(docs, pieces, fold).select("doc_id", ids_of_parts().alias("ids"))
+
+
+def decoded(ids: Column, pieces: Pieces) -> Column:
+    """Pieces and bytes end to end, borders as spaces, without the first; empty for no ids."""
+    spelled = F.split(F.lit(pieces.spelled), ",")  # worked out once: all of it is constant
+    data = F.unhex(F.array_join(F.transform(ids, lambda k: F.get(spelled, k)), ""))
     text = F.replace(F.decode(data, "UTF-8"), F.lit(BORDER), F.lit(" "))
-    return joined.select("doc_id", F.coalesce(F.regexp_replace(text, "^ ", ""), F.lit("")).alias("text"))
+    return F.coalesce(F.regexp_replace(text, "^ ", ""), F.lit(""))
+
+
+def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
+    """(doc_id, text) per row of (doc_id, ids)."""
+    return encoded.select("doc_id", decoded(F.col("ids"), pieces).alias("text"))
 
 
 def digests(docs: DataFrame, pieces: Pieces, fold: str = "merge") -> DataFrame:
-    """(doc_id, n_pieces, ids_digest) per distinct (doc_id, text).
+    """(doc_id, n_pieces, ids_digest, text_sha256, round_trip) per distinct (doc_id, text): encoded, then decoded as a whole.
 
     ``ids_digest`` is the sum of xxhash64(position of the word, its ids) over the
     document's words, taken modulo 2^31 each, so it depends on every id in order.
+    ``text_sha256`` is of the text decoded from the ids; ``round_trip`` tells by
+    hash whether that is the text itself (null as empty).
     """
-    words = dictionary(docs, pieces, fold)
-    found = per_document(docs, words, F.size("ids"), F.pmod(F.xxhash64("at", "ids"), F.lit(1 << 31)))
-    text = F.col("text").cast("string")
-    every = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row")).agg(F.count("*").alias("copies"))
-    same = every["doc_id"].eqNullSafe(found["doc_id"]) & (every["row"] == found["row"])
-    one = lambda s: F.coalesce(F.expr(f"{s} div copies"), F.lit(0)).cast("long")
-    return every.join(found, same, "left").select(every["doc_id"], one("s0").alias("n_pieces"), one("s1").alias("ids_digest"))
+    word = lambda p: F.pmod(F.xxhash64(p["at"], p["ids"]), F.lit(1 << 31).cast("long"))
+    summed = F.aggregate("parts", F.lit(0).cast("long"), lambda total, p: total + word(p))
+    ids = encoded_parts(docs, pieces, fold).select("doc_id", "text_hash", summed.alias("ids_digest"), ids_of_parts().alias("ids"))
+    # Written between the two, so that the text is worked out once per row and from the ids alone.
+    ids = written(ids, "encoded")
+    both = ids.select("*", decoded(F.col("ids"), pieces).alias("decoded"))
+    round_trip = F.xxhash64("decoded") == F.col("text_hash")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids_digest", F.sha2("decoded", 256).alias("text_sha256"), round_trip.alias("round_trip"))
 
 
 def model_path(name: str = VOCABULARY) -> str:

@@ -1,5 +1,6 @@
 """Tokens against the libraries, round trips and packing."""
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -140,6 +141,24 @@ def test_lattice_equals_library_and_decodes(spark, docs, rows):
     assert piece_lattice.digests(docs.limit(0), pieces).count() == 0
 
 
+def test_query_encodes_and_decodes_whole_texts(spark, rows, monkeypatch):
+    """Long texts too, but for a word of 5,000 letters; with words that are not broadcast."""
+    monkeypatch.setattr(piece_lattice, "FREQUENT", 50)
+    pieces = piece_lattice.Pieces.of(spark, piece_lattice.model_path())
+    rows = [(d, t) for d, t in rows if t is None or max(map(len, t.split(" "))) < 600]
+    assert max(len(t or "") for _, t in rows) > 20_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {(r.doc_id, tuple(r.ids)) for r in piece_lattice.encode(docs, pieces).collect()} == {(d, tuple(PIECES.encode(t or ""))) for d, t in rows}
+    found = piece_lattice.digests(docs, pieces).collect()
+    want = set()
+    for d, t in set(rows):
+        ids = PIECES.encode(t or "")
+        text = PIECES.decode(ids)
+        want.add((d, len(ids), hashlib.sha256(text.encode()).hexdigest(), text == (t or "")))
+    assert {(r.doc_id, r.n_pieces, r.text_sha256, r.round_trip) for r in found} == want
+    assert len(found) == len(set(rows)) and {r.round_trip for r in found} == {True, False}
+
+
 def test_viterbi_is_the_best_path(spark):
     rng = random.Random(4)
     letters = "abc"
