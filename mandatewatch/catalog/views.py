@@ -416,12 +416,17 @@ def line_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One harder variant of every hijacked session: just above the cap."""
+    return variants_of(sessions(spark, sf_dir), 2)
+
+
+def variants_of(rows: DataFrame, round_num: int) -> DataFrame:
+    """The variants of a round; from the third on ids name the round, as a session can be hard again."""
+    prefix = "variant-" if round_num == 2 else f"variant{round_num}-"
     near_cap = F.ceil(F.col("mandate_scope.amount_cap") * 1.3).cast("string")
     return (
-        sessions(spark, sf_dir)
-        .filter("injection_present")
+        rows.filter("injection_present")
         .withColumn("base_agent_id", F.col("agent_id"))
-        .withColumn("agent_id", F.concat(F.lit("variant-"), "agent_id"))
+        .withColumn("agent_id", F.concat(F.lit(prefix), "agent_id"))
         .withColumn("signed_artifact_text", F.concat("raw_utterance", F.lit(", total INR "), near_cap))
         .withColumn("subtlety", F.lit("subtle"))
     )
