@@ -1,5 +1,8 @@
 """Language ID by held-out accuracy, and the pipeline stage by stage."""
 
+import sys
+from collections import Counter, defaultdict
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -8,6 +11,10 @@ import corpus_pipeline
 from mandatewatch.llm import byte_convnet
 from mandatewatch.llm.common import written
 
+sys.path.insert(0, str(__import__("pathlib").Path(__file__).parent))
+from conftest import brute_components, words  # noqa: E402
+from test_tokens import packed_ids  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -70,6 +77,54 @@ def test_pipeline_stages(spark):
     assert whole.select("doc_id", "piece", "ids_crc32").exceptAll(pieces.select("doc_id", "piece", "ids_crc32")).count() == 0
 
 
+def lines_kept(rows, min_chars=10):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(lower)
+    holders = defaultdict(set)
+    for d, t in rows:
+        for x in t.split("\n"):
+            if d is not None and len(key(x)) >= min_chars:
+                holders[key(x)].add(d)
+    gone = lambda d, x: d is not None and len(holders.get(key(x), ())) > 1 and min(holders[key(x)]) != d
+    return [(d, "\n".join(x for x in t.split("\n") if not gone(d, x))) for d, t in rows]
+
+
+def one_of_each_group(rows, n=5, percent=80):
+    """Rows take their place by (doc_id, text) as id, so that a group is named by the row that stays."""
+    ordered = sorted(r for r in rows if r[0] is not None)
+    found = brute_components([(k, t) for k, (_, t) in enumerate(ordered)], n, percent)
+    return [r for r in rows if r[0] is None] + [ordered[k] for k, _, component in found if component == k]
+
+
+def passages_kept(rows, width=35):
+    texts = [words(t) for _, t in rows]
+    seen = Counter(tuple(w[k : k + width]) for w in texts for k in range(len(w) - width + 1))
+    out = []
+    for (d, t), w in zip(rows, texts, strict=True):
+        gone = {j for k in range(len(w) - width + 1) if seen[tuple(w[k : k + width])] > 1 for j in range(k, k + width)}
+        out.append((d, b" ".join(x for k, x in enumerate(w) if k not in gone).decode() if gone else t))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, docs, rows, monkeypatch, tmp_path):
+    """Every row and text after each stage of run(), on the odd table, and the packed ids."""
+    docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("xx")).write.parquet(str(tmp_path / "documents.parquet"))
+    tables = {}
+
+    def noted(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(corpus_pipeline, "written", noted)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = [(d, t) for d, t in rows if any(map(str.isalpha, t or ""))]
+    for name, brute in (("language_id", list), ("line_dedup", lines_kept), ("ngram_jaccard", one_of_each_group), ("substring_dedup", passages_kept)):
+        before, want = want, brute(want)
+        assert sorted(((r.doc_id, r.text) for r in tables[name].select("doc_id", "text").collect()), key=str) == sorted(want, key=str), name
+        assert name == "language_id" or sorted(want, key=str) != sorted(before, key=str)
+    packed_ids(want, packed)
+
+
 def test_registered_queries():
     names = list(__spark_entry__.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
