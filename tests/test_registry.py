@@ -28,6 +28,12 @@ def test_entry(spark):
     assert entry(spark).count() == 3
 
 
+def test_bench_times_all_training_data_queries():
+    import bench
+
+    assert {n for n in queries() if n == "pipeline" or n.startswith("op") and n[2].isdigit()} == set(bench.TRAINING_DATA)
+
+
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 
