@@ -149,7 +149,7 @@ class Scorer:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         held, owners = [], []
         for k, text in enumerate(texts):
-            if text and self.net.labels and any(map(str.isalpha, text)):
+            if self.net.labels and lettered(text):
                 data = text.encode()
                 held.append((data, windows_of(data)))
                 owners.append(k)
@@ -172,6 +172,10 @@ class Scorer:
             out[k] = self.net.labels[best], min(max(float(mean[best]), 0.0), 1.0)
 
 
+def lettered(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 _SCORERS: dict[str, Scorer] = {}
 
 
@@ -237,17 +241,20 @@ def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
 def keep_known(docs: DataFrame, net: ByteNet, min_score: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language found with ``min_score`` or more.
 
-    A network that was trained on nothing rejects nothing.
+    A network that was trained on nothing knows no language to miss; texts that are
+    null or have no letter go all the same.
     """
-    if not net.labels:
-        return docs
     schema = docs.schema
     at = schema.names.index("text")
 
     def run(batches):
-        model = scorer(net)
+        model = scorer(net) if net.labels else None
         for batch in batches:
-            found = model.predict([None if t is None else str(t) for t in batch.column(at).to_pylist()])
+            texts = [None if t is None else str(t) for t in batch.column(at).to_pylist()]
+            if model is None:
+                yield batch.filter(pa.array([lettered(t) for t in texts], pa.bool_()))
+                continue
+            found = model.predict(texts)
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

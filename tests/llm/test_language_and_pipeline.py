@@ -50,6 +50,16 @@ def test_training_never_sees_held_out_rows_and_needs_labels(spark):
     assert [r.lang_pred for r in byte_convnet.predict(docs, nothing).collect()] == ["und"] * 40
 
 
+def test_texts_without_a_letter_go_without_labels_too(spark, docs, rows):
+    plain = docs.withColumn("lang", F.lit(None).cast("string"))
+    net = byte_convnet.train(plain)
+    assert not net.labels
+    kept = byte_convnet.keep_known(plain, net)
+    assert kept.columns == plain.columns
+    want = [(d, t) for d, t in rows if any(map(str.isalpha, t or ""))]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str) and len(want) < len(rows)
+
+
 def test_pair_tables_equal_plain_convolution():
     rng = np.random.default_rng(0)
     net = byte_convnet.fit(["abc def " * 20, "xyz uvw " * 20] * 4, ["a", "b"] * 4, steps=5)
