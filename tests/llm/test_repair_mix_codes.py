@@ -352,7 +352,7 @@ def test_lengths_have_codebooks_of_their_own(spark):
         label_of |= {i: lab for i, _, lab in part}
         for i, code, error, _, digest in brute_codes(part):
             assert any(r[:3] == (i, code, error) and r[4] == digest for r in got)
-    few = coded(spark, vector_rows(8, 5, 3)[:5])
+    few = coded(spark, vector_rows(8, 30, 3)[:5])
     assert len(few) == 5 and all(set(r[1]) <= set("01234") for r in few)
 
 
