@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mandatewatch.llm.common import in_batches, written
-from mandatewatch.llm.vectors import cosines, matrix, units, usable
+from mandatewatch.llm.vectors import cosines, lengths_of, matrix, units, usable
 
 #: The index is fitted on about this many rows, those with the smallest hashes of vec_id.
 SAMPLE_ROWS = 16_384
@@ -98,13 +98,23 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, probed_share: float
     """(query_id, rank, vec_id, score): up to ``k`` nearest rows of each query, itself left out.
 
     ``queries`` is a part of ``rows``; both have vec_id and embedding. Vectors
-    that cannot take part (see ``usable``) neither ask nor answer. Equal scores
+    that cannot take part (see ``usable``) neither ask nor answer; the others
+    meet those of their own length. Equal scores
     are ranked by vec_id. Repeated rows count once; other vectors under one
     vec_id are candidates of their own, but not for a query with that id, and the
     smallest of them asks for it. Empty tables give no rows.
     """
     good = usable(rows)
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    out = good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for number, length in enumerate(lengths_of(good)):
+        own = _search(good.filter(F.size("v") == length), asked.filter(F.size("v") == length), k, probed_share)
+        out = out.unionByName(own) if number else own
+    return out
+
+
+def _search(good: DataFrame, asked: DataFrame, k: int, probed_share: float) -> DataFrame:
+    """The search among vectors of one length; there is one at least."""
     # Copies: only the k + 1 smallest ids of a vector can ever be in a result.
     same = good.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     several = good.distinct().join(same.filter("copies > 1").select("v"), "v").withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id")))
@@ -115,8 +125,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, probed_share: float
     total, k_found = items.count(), k
     share = min(SAMPLE_ROWS / max(total, 1), 1.0)
     picked = items.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("vec_id").select("v").collect()
-    if not picked:
-        return items.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if not picked:  # few rows, none of them drawn
+        picked = items.orderBy("vec_id").select("v").limit(1).collect()
     sample = units(np.array([r.v for r in picked]))
     turn = rotation(sample.shape[1])
     lists = max(min(total // LIST_ROWS, len(sample) // ROWS_PER_CENTROID), 1)

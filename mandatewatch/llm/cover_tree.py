@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mandatewatch.llm.common import components, in_batches, written
-from mandatewatch.llm.vectors import matrix, units, usable
+from mandatewatch.llm.vectors import lengths_of, matrix, units, usable
 
 #: A node of at most this many points is a leaf, and leaves meet in blocks of at most so many.
 LEAF_POINTS = 4096
@@ -205,16 +205,30 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per input row.
 
     Vectors are linked if their cosine, in double precision, is ``cosine`` or
-    more. ``component_id`` is the smallest vec_id reachable over links and
+    more; only vectors of one length are compared. ``component_id`` is the smallest vec_id reachable over links and
     ``kept`` says whether that is the row itself. Vectors that cannot take part
     (see ``usable``) have no links. Rows with equal vectors, rows sharing a vec_id
     among them, are linked and counted one by one. A null vec_id has no link and
     null in the other columns. An empty table gives no rows.
     """
-    limit = math.sqrt(max(2 - 2 * cosine, 0))
     good = usable(rows)
     narrow = dict(rows.dtypes)["embedding"] == "array<float>"
     good = good.withColumn("v", F.col("v").cast("array<float>")) if narrow else good
+    none = F.lit(0).cast("long")
+    taking = good.select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id")).limit(0)
+    for number, length in enumerate(lengths_of(good)):
+        own = _linked(good.filter(F.size("v") == length), cosine)
+        taking = taking.unionByName(own) if number else own
+    vector = F.transform("embedding", lambda x: x.cast("double")).cast("array<float>" if narrow else "array<double>")
+    every = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v"))
+    out_rows = every.join(good.select("vec_id", "v").distinct().withColumn("takes", F.lit(True)), ["vec_id", "v"], "left")
+    outside = out_rows.filter("takes is null").select("vec_id", F.when(F.col("vec_id").isNotNull(), none).alias("n_links"), F.col("vec_id").alias("component_id"))
+    return taking.unionByName(outside).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _linked(good: DataFrame, cosine: float) -> DataFrame:
+    """(vec_id, n_links, component_id) of vectors of one length."""
+    limit = math.sqrt(max(2 - 2 * cosine, 0))
     points = written(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).select("id", "v", "copies"), "points")
     placed, nodes = grow(points, limit / 4)
     pairs = written(open_pairs(nodes, limit), "leaf-pairs")
@@ -278,10 +292,4 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
     result = written(
         result.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "result"
     )
-    kind = "array<float>" if narrow else "array<double>"
-    taking = written(good.join(result, "v").select("vec_id", "n_links", "component_id"), "taking-part")
-    vector = F.transform("embedding", lambda x: x.cast("double")).cast(kind)
-    every = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v"))
-    out_rows = every.join(good.select("vec_id", "v").distinct().withColumn("takes", F.lit(True)), ["vec_id", "v"], "left")
-    outside = out_rows.filter("takes is null").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.lit(0)).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return taking.unionByName(outside).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return written(good.join(result, "v").select("vec_id", "n_links", "component_id"), "taking-part")

@@ -11,15 +11,18 @@ def usable(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> D
     """(vec_id, v) of the vectors that take part, v as array<double>.
 
     Left out: null ids, null, empty or zero vectors, and those with a null or
-    non-finite component. Cosine needs equal lengths: vectors whose length is not
-    the table's most frequent one (the smaller of equals) are left out too.
+    non-finite component. Cosine needs equal lengths, so callers compare within one
+    length, for every length in turn.
     """
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     own = rows.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    good = own.filter(F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0.0))
-    lengths = good.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
-    return good.filter(F.size("v") == (lengths.n if lengths else 0))
+    return own.filter(F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0.0))
+
+
+def lengths_of(good: DataFrame) -> list[int]:
+    """The vector lengths that occur; each is worked on by itself."""
+    return sorted(r.n for r in good.select(F.size("v").alias("n")).distinct().collect())
 
 
 def matrix(column) -> np.ndarray:

@@ -141,3 +141,23 @@ def test_empty_vectors(vectors):
     only_bad = df.filter("vec_id >= 10000")
     assert cover_tree.near_duplicates(only_bad).filter("kept").count() == 7
     assert math.isclose(adaptive_scan.rotation(8)[0] @ adaptive_scan.rotation(8)[0], 1)
+
+
+def test_every_length_takes_part(spark):
+    """Two vector lengths, each searched and linked among itself."""
+    long, short = clustered(300, 16, 5), clustered(120, 6, 6)
+    rows = [(10 * k, [float(v) for v in x], 1, "s", 1) for k, x in enumerate(long)] + [(10 * k + 5, [float(v) for v in x], 1, "s", 1) for k, x in enumerate(short)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {r.vec_id: r for r in cover_tree.near_duplicates(df, 0.95).collect()}
+    for x, at in ((long, 0), (short, 5)):
+        n, label = brute_links(x, 0.95)
+        assert all((got[10 * k + at].n_links, got[10 * k + at].component_id) == (n[k], 10 * label[k] + at) for k in range(len(x)))
+    found = {}
+    for r in adaptive_scan.search(df, df.filter("vec_id % 50 in (0, 5)"), 5, probed_share=1.0).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(found) == {r[0] for r in rows if r[0] % 50 in (0, 5)}
+    for q, hits in found.items():
+        x, at = (short, 5) if q % 10 else (long, 0)
+        assert sorted(rank for rank, _, _ in hits) == [1, 2, 3, 4, 5] and all(v % 10 == at and v != q for _, v, _ in hits)
+        cos = brute(x)[q // 10]
+        assert all(abs(s - cos[v // 10]) < 1e-12 for _, v, s in hits)
