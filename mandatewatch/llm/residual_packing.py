@@ -2,9 +2,10 @@
 
 Every input partition packs its pieces best-fit, largest first, and emits the
 bins that are nearly full. Underfull bins go on as items of their own: they are
-dealt to an eighth of the partitions and packed again, until one partition is
-left. A partition passes on at most ``PASSED_ON`` bins, its emptiest; the others
-are emitted as they are, so the last task stays bounded. Only pieces' places
+dealt to an eighth of the partitions, or to as many as hold ``TASK_BINS`` each,
+and packed again, until one partition is left or a round over the same number of
+partitions joins next to none any more. So no task gets more than about
+``TASK_BINS`` bins, and none leaves before it has met others. Only pieces' places
 travel, never their ids.
 """
 
@@ -25,7 +26,9 @@ CAPACITY = 2048
 #: A bin with at most this share of its room left is emitted at once.
 NEARLY_FULL = 0.004
 FAN_IN = 8
-PASSED_ON = 8192
+TASK_BINS = 8192
+#: The rounds end when one leaves more than this share of its bins as they were.
+STALLED = 63 / 64
 
 #: One piece inside a bin.
 MEMBER = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
@@ -59,14 +62,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def pack_items(items: list[tuple[int, bytes]], capacity: int, last: bool) -> Iterator[tuple[int, bool, bytes]]:
-    """Bins of (fill, members) items; all but the emptiest underfull ones are done."""
-    bins = []
-    for held in best_fit(np.array([fill for fill, _ in items], np.int64), capacity):
-        bins.append((sum(items[k][0] for k in held), b"".join(items[k][1] for k in held)))
-    bins.sort(key=lambda b: b[0])
+    """Bins of (fill, members) items; nearly full ones are done, and in the last round all."""
     enough = capacity - int(NEARLY_FULL * capacity)
-    for n, (fill, members) in enumerate(bins):
-        yield fill, last or fill >= enough or n >= PASSED_ON, members
+    for held in best_fit(np.array([fill for fill, _ in items], np.int64), capacity):
+        fill = sum(items[k][0] for k in held)
+        yield fill, last or fill >= enough, b"".join(items[k][1] for k in held)
 
 
 def cut_pieces(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
@@ -116,15 +116,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     bins = written(own.mapInArrow(first, BINS), "bins")
     done = bins.filter("done")
     left = bins.filter("not done")
-    parts = bins.select(F.spark_partition_id().alias("p")).distinct().count()
+    parts, n_left, stalled = bins.select(F.spark_partition_id().alias("p")).distinct().count(), left.count(), False
     while True:
-        parts = -(-parts // FAN_IN)
-        dealt = left.select("fill", "members").repartition(max(parts, 1), F.xxhash64("members"))
-        merged = written(dealt.mapInArrow(again(parts <= 1), BINS), "bins")
+        before, parts = parts, max(-(-parts // FAN_IN), -(-n_left // TASK_BINS), 1)
+        last = parts == 1 or stalled
+        dealt = left.select("fill", "members").repartition(parts, F.xxhash64("members"))
+        merged = written(dealt.mapInArrow(again(last), BINS), "bins")
         done = done.unionByName(merged.filter("done"))
-        if parts <= 1:
+        if last:
             break
         left = merged.filter("not done")
+        held, n_left = n_left, left.count()
+        stalled = parts >= before and n_left > STALLED * held
 
     def spread(batches):
         for batch in batches:

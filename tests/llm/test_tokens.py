@@ -85,23 +85,33 @@ def test_packing(docs, rows):
     assert residual_packing.pack(docs.limit(0)).count() == 0
 
 
-def test_best_fit_and_bounded_passing(monkeypatch):
+def test_no_bin_leaves_before_it_has_met_others(spark, docs, rows, monkeypatch):
+    """Tasks of two bins: rounds go on while they join bins, and the packing stays whole and near the bound."""
+    monkeypatch.setattr(residual_packing, "TASK_BINS", 2)
+    found = residual_packing.pack(docs.repartition(16)).collect()
+    packed_ids(rows, found)
+    total = sum(r.length for r in found)
+    assert len({r.sequence_id for r in found}) <= 1.15 * -(-total // 2048) + 2
+
+
+def test_best_fit():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 2049, 3000)
     bins = residual_packing.best_fit(sizes, 2048)
     assert sorted(k for b in bins for k in b) == list(range(3000))
     assert all(sizes[b].sum() <= 2048 for b in bins)
     assert len(bins) <= 11 / 9 * sizes.sum() / 2048 + 1
-    monkeypatch.setattr(residual_packing, "PASSED_ON", 3)
-    out = list(residual_packing.pack_items([(1500, b"x")] * 50, 2048, False))
-    assert len(out) == 50 and sum(not done for _, done, _ in out) == 3
+    out = list(residual_packing.pack_items([(1500, b"x")] * 50 + [(2048, b"y")], 2048, False))
+    assert len(out) == 51 and sum(not done for _, done, _ in out) == 50
 
 
 def test_elias_fano_random_access():
     rng = np.random.default_rng(1)
     for values in ([0], [0, 0, 0], [0, 7, 7, 9000], [0, *np.cumsum(rng.integers(0, 3000, 1500)).tolist()]):
         sequence = token_files.EliasFano.of(np.array(values))
-        assert [sequence[k] for k in range(len(values))] == values == sequence.all().tolist()
+        assert [sequence[k] for k in range(len(values))] == values == sequence.all().tolist() == sequence.at(np.arange(len(values))).tolist()
+        some = rng.integers(0, len(values), 40)
+        assert sequence.at(some).tolist() == [values[k] for k in some]
     wide = token_files.EliasFano.of(np.arange(100_000) * 700)
     assert len(wide.low) + len(wide.high) < 100_000 * 12 / 8 + 16  # about 2 + log2(gap) bits each
 
