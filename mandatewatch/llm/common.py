@@ -202,6 +202,17 @@ def in_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096, weigh
         yield arrow_rows(held, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def edited(docs: DataFrame, key: Column, notes: DataFrame, edit: Callable) -> DataFrame:
     """The rows of ``docs``, all columns, with ``edit(text, note)`` as text where there is a note.
 
@@ -209,8 +220,9 @@ def edited(docs: DataFrame, key: Column, notes: DataFrame, edit: Callable) -> Da
     column ``n_chars``, it takes the new length.
     """
     schema = docs.schema
-    keyed = docs.withColumn("__key", key)
-    noted = keyed.join(notes.select(F.col("key").alias("__key"), F.col("note").alias("__note")), "__key", "left")
+    own_key, own_note = fresh(docs, "key", "note")
+    keyed = docs.withColumn(own_key, key)
+    noted = keyed.join(notes.select(F.col("key").alias(own_key), F.col("note").alias(own_note)), own_key, "left")
     text_at = schema.names.index("text")
     count_at = schema.names.index("n_chars") if "n_chars" in schema.names else None
 
@@ -231,7 +243,7 @@ def edited(docs: DataFrame, key: Column, notes: DataFrame, edit: Callable) -> Da
                     columns[count_at] = pa.array(counts, columns[count_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return noted.select(*(F.col(f"`{n}`") for n in schema.names), "__note").mapInArrow(run, schema)
+    return noted.select(*(F.col(f"`{n}`") for n in schema.names), own_note).mapInArrow(run, schema)
 
 
 def signed(x: int) -> int:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mandatewatch.llm.common import BROADCAST_IDS, Runs, components, in_batches, mixed, only_ids, runs_of, signed, word_ids, written
+from mandatewatch.llm.common import BROADCAST_IDS, Runs, components, fresh, in_batches, mixed, only_ids, runs_of, signed, word_ids, written
 
 #: Sets of sizes from s to this many times s are dealt to the same number of parts.
 SIZE_CLASS = 1.5
@@ -401,14 +401,15 @@ def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     found = written(near_duplicates(docs, n, percent).filter("component is not null"), "groups")
     keepers = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_id")).alias("keeper"))
     others = found.join(written(keepers, "keepers"), "component").filter(F.struct("doc_id", "text_id") != F.col("keeper"))
-    others = others.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text")).distinct()
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.xxhash64(F.col("text").cast("string")))
-    kept = keyed.join(others, ["__id", "__text"], "left_anti")
+    own_id, own_text, again, place = fresh(docs, "own_id", "own_text", "again", "place")
+    others = others.select(F.col("doc_id").alias(own_id), F.col("text_id").alias(own_text)).distinct()
+    keyed = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_text, F.xxhash64(F.col("text").cast("string")))
+    kept = keyed.join(others, [own_id, own_text], "left_anti")
     repeats = found.groupBy("doc_id", "text_id").agg(F.count("*").alias("n")).filter("n > 1")
-    repeats = written(repeats.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text"), F.lit(True).alias("__again")), "repeats")
+    repeats = written(repeats.select(F.col("doc_id").alias(own_id), F.col("text_id").alias(own_text), F.lit(True).alias(again)), "repeats")
     if not repeats.isEmpty():
         # The same row more than once: the first stays.
-        marked = kept.join(repeats, ["__id", "__text"], "left")
-        order = F.row_number().over(Window.partitionBy("__id", "__text").orderBy(F.lit(0)))
-        kept = marked.withColumn("__n", order).filter("__again is null or __n = 1")
+        marked = kept.join(repeats, [own_id, own_text], "left")
+        order = F.row_number().over(Window.partitionBy(own_id, own_text).orderBy(F.lit(0)))
+        kept = marked.withColumn(place, order).filter(F.col(again).isNull() | (F.col(place) == 1))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
