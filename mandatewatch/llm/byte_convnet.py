@@ -11,6 +11,7 @@ of its whole text, weighted by their lengths.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from dataclasses import dataclass
 
@@ -22,11 +23,17 @@ from pyspark.sql import functions as F
 from mandatewatch.llm.common import in_batches
 
 UNKNOWN = "und"
+#: The class of text that is none: made from training rows, and never a document's language.
+NOISE = "\x00noise"
+#: Windows from which on a text can be called noise, and the mean probability that takes.
+NOISE_WINDOWS, NOISE_SHARE = 4, 0.5
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 #: The fit reads at most this many documents of each language, and of each one window from a hashed place.
 SAMPLE_PER_LANGUAGE = 1024
+#: Languages that are learned: the most frequent labels.
+MAX_LANGUAGES = 256
 #: Before that, about so many times the sample are drawn by another hash.
 THINNED = 4
 STEPS, BATCH, RATE, SEED = 240, 96, 0.02, 7
@@ -146,7 +153,15 @@ class Scorer:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, its mean probability) per text; ``und`` with 0 where there is no letter."""
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        out = []
+        for found in self.means(texts):
+            best = int(found[1].argmax()) if found else 0
+            out.append((self.net.labels[best], min(max(float(found[1][best]), 0.0), 1.0)) if found else (UNKNOWN, 0.0))
+        return out
+
+    def means(self, texts: list[str | None]) -> list[tuple[int, np.ndarray] | None]:
+        """(windows, mean probability of each class) per text; None where there is no letter or no class."""
+        out: list[tuple[int, np.ndarray] | None] = [None] * len(texts)
         held, owners = [], []
         for k, text in enumerate(texts):
             if self.net.labels and lettered(text):
@@ -168,8 +183,7 @@ class Scorer:
             weight[-1] = len(data) - WINDOW * (len(rows) - 1)
             mean = weight @ found[at : at + len(rows)] / weight.sum()
             at += len(rows)
-            best = int(mean.argmax())
-            out[k] = self.net.labels[best], min(max(float(mean[best]), 0.0), 1.0)
+            out[k] = len(rows), mean
 
 
 def lettered(text: str | None) -> bool:
@@ -191,30 +205,44 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
-def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: int = SEED) -> ByteNet:
-    """Fits on labelled documents that are not held out, at most ``per_language`` of each language.
+def corrupted(text: str, kind: int, rng: np.random.Generator) -> str:
+    """Noise of a text's size, made from it: shuffled characters, or its bytes shuffled, as hexadecimal digits, or in base 64."""
+    data = text.encode()
+    if kind == 0:
+        return "".join(rng.permutation(list(text)).tolist())
+    if kind == 1:
+        return bytes(rng.permutation(np.frombuffer(data, np.uint8)).tolist()).decode(errors="replace")
+    return data.hex() if kind == 2 else base64.b64encode(data).decode()
+
+
+def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: int = SEED, noise: bool = False) -> ByteNet:
+    """Fits on labelled documents that are not held out, at most ``per_language`` of each of ``MAX_LANGUAGES``.
 
     The sample is the rows with the smallest hashes of doc_id; of each, one
     window from a place that the hash picks. Rows without doc_id, text or lang
-    are left out. Without any labelled row the network knows no language.
+    are left out. Without any labelled row the network knows no language. With
+    ``noise`` there is one class more, learned from corrupted training windows.
     """
+    place = F.xxhash64("doc_id", F.lit(seed))
+    at = F.pmod(place, F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1).cast("int") + 1
     labelled = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     ).filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
-    place = F.xxhash64("doc_id", F.lit(seed))
-    # Only a few times as many rows as are wanted of a language come to its sort.
-    sizes = docs.select(F.col("lang").cast("string").alias("lang")).groupBy("lang").agg(F.count("*").alias("rows"))
+    # One window per row from here on, and of those only a few times as many as are wanted of a language.
+    pieces = labelled.select("doc_id", "lang", place.alias("place"), F.substring("text", at, F.lit(WINDOW)).alias("piece"))
+    sizes = docs.select(F.col("lang").cast("string").alias("lang")).filter("lang is not null").groupBy("lang").agg(F.count("*").alias("rows"))
+    sizes = sizes.orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES)
     share = F.lit(float(THINNED * per_language)) / F.col("rows")
     thin = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 30)) < share * (1 << 30)
-    labelled = labelled.join(sizes, "lang").filter(thin)
-    drawn = labelled.select(
-        "lang",
-        place.alias("place"),
-        F.substring("text", F.pmod(place, F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1).cast("int") + 1, F.lit(WINDOW)).alias("piece"),
-    )
+    drawn = pieces.join(F.broadcast(sizes), "lang").filter(thin).select("lang", "place", "piece")
     order = Window.partitionBy("lang").orderBy("place", "piece")
     sample = drawn.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).orderBy("lang", "n").collect()
-    return fit([r.piece for r in sample], [r.lang for r in sample], seed=seed)
+    texts, labels = [r.piece for r in sample], [r.lang for r in sample]
+    if noise and texts:
+        rng = np.random.default_rng(seed)
+        texts += [corrupted(t, k % 4, rng) for k, t in enumerate(texts)]
+        labels += [NOISE] * len(sample)
+    return fit(texts, labels, steps=STEPS * (2 if noise else 1), seed=seed)
 
 
 def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
@@ -238,23 +266,27 @@ def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PREDICTED)
 
 
-def keep_known(docs: DataFrame, net: ByteNet, min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language found with ``min_score`` or more.
+def keep_known(docs: DataFrame, net: ByteNet, windows: int = NOISE_WINDOWS, share: float = NOISE_SHARE) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that are in no language.
 
-    A network that was trained on nothing knows no language to miss; texts that are
-    null or have no letter go all the same.
+    Texts that are null or have no letter go, with or without a trained network.
+    Of the others a text goes if it has ``windows`` windows or more and the noise
+    class, where the network has one, a mean probability of more than ``share``
+    over all of them. Shorter texts stay: there a licence line or a list of names
+    weighs as much as the prose.
     """
     schema = docs.schema
     at = schema.names.index("text")
 
     def run(batches):
-        model = scorer(net) if net.labels else None
+        noise = net.labels.index(NOISE) if NOISE in net.labels else None
+        model = None if noise is None else scorer(net)
         for batch in batches:
             texts = [None if t is None else str(t) for t in batch.column(at).to_pylist()]
             if model is None:
                 yield batch.filter(pa.array([lettered(t) for t in texts], pa.bool_()))
                 continue
-            found = model.predict(texts)
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+            found = model.means(texts)
+            yield batch.filter(pa.array([m is not None and (m[0] < windows or m[1][noise] <= share) for m in found], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

@@ -36,7 +36,7 @@ def test_odd_texts_have_no_language(spark, docs):
     for r in texts:
         if not any(map(str.isalpha, r.text or "")):
             assert (r.doc_id, "und", 0.0) in found
-    assert byte_convnet.keep_known(docs, net, 0.0).columns == docs.columns
+    assert byte_convnet.keep_known(docs, net).columns == docs.columns
     assert byte_convnet.predict(docs.limit(0), net).count() == 0
 
 
@@ -60,6 +60,58 @@ def test_texts_without_a_letter_go_without_labels_too(spark, docs, rows):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str) and len(want) < len(rows)
 
 
+def test_noise_goes_and_short_clean_texts_stay(spark):
+    """Encoded, shuffled and random text of several windows goes; clean texts of any length and short noise stay."""
+    import base64
+    import random
+
+    rng = random.Random(3)
+    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = byte_convnet.train(source, noise=True)
+    assert net.labels[0] == byte_convnet.NOISE and len(net.labels) == 5
+    clean = [r.text for r in source.filter("length(text) > 1500 and lang is not null").orderBy("doc_id").limit(60).collect()]
+    shuffled = ["".join(rng.sample(t, len(t))) for t in clean[:20]]
+    encoded = [base64.b64encode(t.encode()).decode() for t in clean[20:40]] + [t.encode().hex() for t in clean[40:]]
+    noise = shuffled + encoded + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789/+=") for _ in range(3000)) for _ in range(10)]
+    good = clean + [t[: rng.randrange(20, 700)] for t in clean] + [t[:600] for t in noise]
+    rows = [(k, t) for k, t in enumerate(good)] + [(1000 + k, t) for k, t in enumerate(noise)]
+    kept = {r.doc_id for r in byte_convnet.keep_known(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()}
+    assert len([k for k in range(len(good)) if k not in kept]) <= 0.02 * len(good)
+    assert len([k for k in kept if k >= 1000]) <= 0.1 * len(noise)
+
+
+def brute_language(net, text):
+    """Every window of a text through a plain convolution, weighed by its bytes."""
+    if not net.labels or not any(map(str.isalpha, text or "")):
+        return "und", 0.0
+    data, total = text.encode(), np.zeros(len(net.labels))
+    for at in range(0, len(data), byte_convnet.WINDOW):
+        own = data[at : at + byte_convnet.WINDOW]
+        row = own + bytes(byte_convnet.WINDOW - len(own))
+        best = []
+        for w, table in zip(byte_convnet.WIDTHS, net.tables, strict=True):
+            best.append(np.max([sum(table[o][row[p + o]].astype("f8") for o in range(w)) for p in range(byte_convnet.WINDOW - w + 1)], axis=0))
+        hidden = np.maximum(np.concatenate(best) + net.bias, 0) @ net.dense + net.dense_bias
+        e = np.exp(hidden - hidden.max())
+        total += len(own) * e / e.sum()
+    mean = total / len(data)
+    return net.labels[int(mean.argmax())], float(mean.max())
+
+
+def test_prediction_equals_brute_force(spark, docs):
+    """Texts of many windows, of one byte and of two languages, next to the whole odd table."""
+    labelled = spark.read.parquet(f"{SF}/documents.parquet")
+    net = byte_convnet.train(labelled)
+    texts = [r.text for r in docs.select("text").limit(40).collect()] + [r.text for r in labelled.limit(15).collect()]
+    one, two = labelled.filter("lang = 'en'").first().text, labelled.filter("lang = 'de'").first().text
+    texts += [one[:700] + two[:700], two[:256], one[:257], "a", None, "1" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in byte_convnet.predict(rows, net).collect()}
+    for k, text in enumerate(texts):
+        lang, score = brute_language(net, text)
+        assert abs(found[k][1] - score) < 1e-3 and (found[k][0] == lang or score < 0.51), (k, found[k], lang, score)
+
+
 def test_pair_tables_equal_plain_convolution():
     rng = np.random.default_rng(0)
     net = byte_convnet.fit(["abc def " * 20, "xyz uvw " * 20] * 4, ["a", "b"] * 4, steps=5)
