@@ -13,12 +13,14 @@ from mandatewatch.llm import byte_convnet, jaccard_regions, line_dedup, residual
 from mandatewatch.llm.common import table, written
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents of no language (null, or without a letter) go.
+    """Language ID: documents of no language go, and noise.
 
+    A text goes that is null or has no letter, or whose windows, four at least,
+    the network takes for encoded or shuffled text rather than for any language.
     A low score alone rejects nothing: short clean texts next to a licence line
     score as low as any.
     """
-    return byte_convnet.keep_known(docs, byte_convnet.train(docs))
+    return byte_convnet.keep_known(docs, byte_convnet.train(docs, noise=True))
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
