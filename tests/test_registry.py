@@ -31,7 +31,8 @@ def test_entry(spark):
 def test_bench_times_all_training_data_queries():
     import bench
 
-    assert {n for n in queries() if n == "pipeline" or n.startswith("op") and n[2].isdigit()} == set(bench.TRAINING_DATA)
+    # The training-data operators can be taken away; what is registered of them is timed.
+    assert {n for n in queries() if n == "pipeline" or n.startswith("op") and n[2].isdigit()} <= set(bench.TRAINING_DATA)
 
 
 def test_every_oracle_has_a_query():
