@@ -39,7 +39,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.digest(substring_dedup.drop_repeated(table(spark, sf_dir, "documents"), 35))
+    return substring_dedup.digests(table(spark, sf_dir, "documents"), 35)
 
 
 @query

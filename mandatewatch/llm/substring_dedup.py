@@ -23,6 +23,10 @@ an anchor's windows to as many keys as they fill indexes.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -193,8 +197,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def kept_words(words: list[bytes], places: list[dict]) -> list[bytes]:
     """The words outside the noted ranges."""
     spans = [(p["first"] + q["at"], q["edges"]) for p in places for q in p["parts"]]
-    gone = covered(spans, len(words))
-    return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+    return list(compress(words, (~covered(spans, len(words))).tolist()))
 
 
 def drop_repeated(docs: DataFrame, width: int = 35) -> DataFrame:
@@ -205,9 +208,18 @@ def drop_repeated(docs: DataFrame, width: int = 35) -> DataFrame:
     row and rows with the same doc_id included. Rows with a null doc_id are
     streamed like the others. Null, empty and short texts lose nothing.
     """
+    return _kept(docs, width, "kept_text", bytes.decode)
+
+
+def digests(docs: DataFrame, width: int = 35) -> DataFrame:
+    """``drop_repeated`` with ``kept_sha256`` in place of the text, hashed where the text is."""
+    return _kept(docs, width, "kept_sha256", lambda kept: hashlib.sha256(kept).hexdigest())
+
+
+def _kept(docs: DataFrame, width: int, name: str, finish: Callable[[bytes], str]) -> DataFrame:
     own = keyed(docs)
     places = repeated_ranges(own.select("doc_id", "text", "text_id"), width)
-    out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+    out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), (name, pa.string())])
 
     def remove(batches):
         def rows():
@@ -215,12 +227,12 @@ def drop_repeated(docs: DataFrame, width: int = 35) -> DataFrame:
                 for doc_id, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                     words = words_of(text)
                     kept = kept_words(words, found) if found else words
-                    yield doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode()
+                    yield doc_id, len(words), len(words) - len(kept), finish(b" ".join(kept))
 
         yield from in_batches(rows(), out, weigh=lambda r: len(r[3]))
 
     joined = own.join(places, ["doc_id", "text_id"], "left").select("own_id", "text", "places")
-    return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(remove, f"doc_id long, n_words long, n_removed long, {name} string")
 
 
 def without_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
@@ -239,7 +251,3 @@ def without_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     own = keyed(docs).select("doc_id", "text", "text_id")
     notes = repeated_ranges(own, width).select(F.struct("doc_id", "text_id").alias("key"), F.col("places").alias("note"))
     return edited(docs, key, notes, edit)
-
-
-def digest(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

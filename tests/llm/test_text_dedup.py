@@ -60,14 +60,14 @@ def test_one_per_group_keeps_clean_rows(docs, rows):
 
 @pytest.mark.parametrize("width", [35, 6])
 def test_substrings(docs, rows, width):
-    found = substring_dedup.digest(substring_dedup.drop_repeated(docs, width))
+    found = substring_dedup.digests(docs, width)
     assert collected(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows, width)
 
 
 def test_substrings_of_hot_anchors(docs, rows, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", 2)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 200)
-    found = substring_dedup.digest(substring_dedup.drop_repeated(docs, 12))
+    found = substring_dedup.digests(docs, 12)
     assert collected(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows, 12)
 
 
@@ -86,7 +86,7 @@ def test_substrings_of_a_template_with_a_varying_word(spark, monkeypatch):
     # Every tenth name stands in two documents, whose windows repeat as a whole.
     rows = [(k, " ".join([*words[:20], f"name{k - 1 if k % 10 == 9 else k}", *words[20:]])) for k in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    found = substring_dedup.digest(substring_dedup.drop_repeated(df, 12))
+    found = substring_dedup.digests(df, 12)
     assert collected(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows, 12)
 
 
