@@ -9,7 +9,7 @@ from mandatewatch.catalog import views as v
 from mandatewatch.catalog.registry import query
 from mandatewatch.functions.policy import domains, session_drift, session_flagged, session_rule_reasons, session_source_trust, with_parsed
 from mandatewatch.functions.scoring import predicted
-from mandatewatch.functions.text import artifact_hash, phrase_overlap, quoted_list, url_domain
+from mandatewatch.functions.text import artifact_hash, phrase_overlap, url_domain
 from mandatewatch.operators.similar_names import domain_pairs, edit_similarity, typosquat_scores
 from mandatewatch.operators.ranking import first_per_group
 from mandatewatch.plans.sessions import current_sessions, filter_sessions, flatten, relabel_benign, with_signals
@@ -296,16 +296,45 @@ def session_json_round_trip(spark, sf_dir):
     )
 
 
+@query(
+    "session_array_round_trip",
+    f"""
+    WITH {v.V_SESSIONS}
+    SELECT agent_id, subtlety, category, amount_cap, strftime(expiry, '%Y-%m-%dT%H:%M:%S') AS expiry,
+           array_to_string(content_sources_ingested, '|') AS sources, raw_utterance FROM v_sessions
+    """,
+)
+def session_array_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "session-arrays")
+    writers.write_session_arrays(v.sessions(spark, sf_dir), path)
+    return readers.read_sessions(spark, path, array=True).select(
+        "agent_id", "subtlety", F.get("mandate_scope.categories", 0).alias("category"),
+        F.col("mandate_scope.amount_cap").alias("amount_cap"),
+        F.date_format("mandate_scope.expiry", "yyyy-MM-dd'T'HH:mm:ss").alias("expiry"),
+        joined("content_sources_ingested").alias("sources"), "raw_utterance",
+    )
+
+
+@query(
+    "quoted_documents_csv",
+    "SELECT doc_id, lang, source, text FROM documents WHERE text IS NOT NULL",
+)
+def quoted_documents_csv(spark, sf_dir):
+    """Texts with line ends, quotes and commas through CSV and back."""
+    path = scratch_path(spark, "documents-csv")
+    rows = v.documents(spark, sf_dir, "doc_id", "lang", "source", "text").filter("text is not null")
+    rows.write.csv(path, header=True, escape='"', quoteAll=True)
+    return readers.read_table_csv(spark, path, "doc_id bigint, lang string, source string, text string")
+
+
 def session_rounds(spark, sf_dir):
-    """All sessions, and a later version of each hijacked one off its allowlist."""
-    base = v.sessions(spark, sf_dir).withColumn("priority", F.lit(0))
-    later = (
-        base.filter("injection_present and agent_registry_status = 'revoked'")
-        .withColumn("signed_artifact_text", F.concat("signed_artifact_text", F.lit(" (variant)")))
-        .withColumn("subtlety", F.lit("subtle"))
-        .withColumn("priority", F.lit(1))
-    )
-    return base.unionByName(later)
+    """All sessions, and a later version of each hijacked one off its allowlist, from their files."""
+    base, changed = scratch_path(spark, "sessions-base"), scratch_path(spark, "sessions-later")
+    rows = v.sessions(spark, sf_dir)
+    writers.write_sessions_json(rows, base)
+    later = rows.filter("injection_present and agent_registry_status = 'revoked'")
+    writers.write_session_arrays(later.withColumn("signed_artifact_text", F.concat("signed_artifact_text", F.lit(" (variant)"))), changed)
+    return readers.read_session_rounds(spark, base, changed, later_array=True)
 
 
 @query(
@@ -346,8 +375,7 @@ def transactions_csv(spark, sf_dir):
 def joined_csv_lists(spark, sf_dir):
     path = scratch_path(spark, "joined-csv")
     lists = ("mandate_categories", "mandate_merchant_allowlist", "content_sources_ingested")
-    rows = flatten(v.sessions(spark, sf_dir)).select("agent_id", *[quoted_list(F.col(c)).alias(c) for c in lists])
-    rows.write.csv(path, header=True)
+    writers.write_joined(flatten(v.sessions(spark, sf_dir)).select("agent_id", *lists), path, csv=True)
     read = readers.read_table_csv(spark, path, ", ".join(f"{c} string" for c in ("agent_id", *lists)))
     decoded = read.withColumns({c: readers.decode_list(c) for c in lists})
     return decoded.select(

@@ -57,7 +57,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> D
     else:
         held = keys.distinct().groupBy("key").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n"))
         common = held.filter(F.col("n") >= min_docs).select("key", "keeper")
-    dropped = keys.join(common, "key").filter("doc_id <> keeper")
+    # A table of its own: adaptive execution can split a line that many documents hold, or broadcast the other side.
+    dropped = keys.join(written(common, "common-lines"), "key").filter("doc_id <> keeper")
     return dropped.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from mandatewatch.functions.scoring import payload_json
-from mandatewatch.functions.text import first_non_empty, quoted
+from mandatewatch.functions.text import first_non_empty, quoted, quoted_list
 
 
 def write_sessions_json(sessions: DataFrame, path: str) -> None:
@@ -16,6 +19,25 @@ def write_sessions_json(sessions: DataFrame, path: str) -> None:
     sessions.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").json(path)
 
 
+def write_session_arrays(sessions: DataFrame, path: str) -> None:
+    """JSON arrays of sessions, one in each file that a task writes."""
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = False
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            if lines:
+                # A comma stands before each element but the first of the file.
+                lines = [("," if opened or k else "[") + x for k, x in enumerate(lines)]
+                opened = True
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        if opened:
+            yield pa.RecordBatch.from_arrays([pa.array(["]"], pa.string())], names=["value"])
+
+    record = F.to_json(F.struct(*sessions.columns), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"})
+    sessions.select(record.alias("value")).mapInArrow(elements, "value string").write.mode("overwrite").text(path)
+
+
 def missing_rows(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not stored yet, one per key."""
     return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
@@ -26,8 +48,13 @@ def append_new(new: DataFrame, existing: DataFrame, key: str, path: str) -> None
     missing_rows(new, existing, key).write.mode("append").parquet(path)
 
 
-def write_joined(joined: DataFrame, path: str) -> None:
-    joined.write.mode("overwrite").parquet(path)
+def write_joined(joined: DataFrame, path: str, csv: bool = False) -> None:
+    """The joined table as Parquet, or as CSV with a header and list columns as quoted texts."""
+    if not csv:
+        joined.write.mode("overwrite").parquet(path)
+        return
+    flat = [quoted_list(F.col(f.name)).alias(f.name) if isinstance(f.dataType, ArrayType) else F.col(f.name) for f in joined.schema]
+    joined.select(*flat).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
