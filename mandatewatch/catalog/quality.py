@@ -10,7 +10,9 @@ from mandatewatch.catalog.sessions import _sql_phrase_score
 from mandatewatch.catalog.texts import V_CONTENT, document_scores
 from mandatewatch.functions.policy import session_flagged
 from mandatewatch.functions.scoring import gate_reading, verdict_consistent
+from mandatewatch.functions.text import largest_inr_amount
 from mandatewatch.operators import metrics
+from mandatewatch.operators.drift import feature_drift
 from mandatewatch.plans.fusion import attach_scores, content_score, metrics_table
 from mandatewatch.plans.sessions import with_signals
 
@@ -237,3 +239,36 @@ def verdict_consistency(spark, sf_dir):
         F.count_if("ok").alias("passed"),
         F.round(F.avg(F.col("ok").cast("double")), 6).alias("pass_rate"),
     )
+
+
+_DRIFTING = ("amount_cap", "tool_calls_made", "discount", "total_price", "amount")
+
+
+@query(
+    "feature_drift",
+    f"""
+    WITH {v.V_SESSIONS},
+    v_cells AS (
+      SELECT injection_present, UNNEST([{', '.join(f"'{c}'" for c in _DRIFTING)}]) AS feature,
+             UNNEST([amount_cap, tool_calls_made, discount, total_price, {v.sql_amount("signed_artifact_text")}]::DOUBLE[]) AS value FROM v_sessions),
+    v_counts AS (
+      SELECT feature, value, COUNT(*) FILTER (WHERE NOT injection_present) AS a, COUNT(*) FILTER (WHERE injection_present) AS b
+      FROM v_cells WHERE value IS NOT NULL GROUP BY ALL),
+    v_running AS (
+      SELECT *, lead(value) OVER w AS next, SUM(a) OVER w AS a_run, SUM(b) OVER w AS b_run,
+             SUM(a) OVER (PARTITION BY feature) AS n_left, SUM(b) OVER (PARTITION BY feature) AS n_right
+      FROM v_counts WINDOW w AS (PARTITION BY feature ORDER BY value))
+    SELECT feature, CAST(MAX(n_left) AS BIGINT) AS n_left, CAST(MAX(n_right) AS BIGINT) AS n_right,
+           round(MAX(abs(a_run / n_left - b_run / n_right)), 9) AS ks,
+           round(SUM(COALESCE(abs(a_run / n_left - b_run / n_right) * (next - value), 0)), 6) AS wasserstein
+    FROM v_running GROUP BY feature
+    """,
+)
+def session_feature_drift(spark, sf_dir):
+    """Clean against hijacked sessions, number by number."""
+    rows = v.session_source(spark, sf_dir).select(
+        "injection_present", F.col("mandate_scope.amount_cap").alias("amount_cap"), "tool_calls_made", "discount", "total_price",
+        largest_inr_amount(F.col("signed_artifact_text")).alias("amount"),
+    )
+    drift = feature_drift(rows.filter("not injection_present"), rows.filter("injection_present"), _DRIFTING)
+    return drift.withColumns({"ks": F.round("ks", 9), "wasserstein": F.round("wasserstein", 6)})

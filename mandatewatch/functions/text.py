@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What an amount, a word and a term are.
 AMOUNT_PATTERN = r"(?i)(?:INR\s*\d[\d,]*(?:\.\d+)?)|(?:\d[\d,]*(?:\.\d+)?\s*INR)"
 WORD_PATTERN = "[a-z0-9']+"
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from mandatewatch.runtime import cut_lineage
 
 RANK_BUCKET_DIGITS = 4
-PREFIX_BUCKETS = 64
+#: Rows of one range of a running sum.
+RANGE_ROWS = 65_536
 
 
 def seeded_hash(seed: int | str, *keys: str) -> Column:
@@ -52,29 +53,38 @@ def hash_rank(
     return ranked.drop("_hash", "_bucket", "_rows_offset", "_all")
 
 
-def prefix_sums(df: DataFrame, by: Sequence[str], order: str, totals: Sequence[str]) -> DataFrame:
-    """Sum of each total over the rows with a smaller order value, per group.
-
-    Expects one row per (group, order value). Order values are cut at their
-    approximate quantiles; only the values of one range meet in one task. The
-    rows are read three times, so they are checkpointed first.
+def prefix_sums(
+    df: DataFrame, by: Sequence[str], order: str, totals: Sequence[str], maxima: Sequence[str] = ()
+) -> DataFrame:
+    """Sum of each total, and maximum of each of ``maxima``, over the rows with a smaller order value, per group.
+
+    Expects one row per (group, order value). A scan in two levels: rows are
+    dealt by ranges of (group, order value), as many as hold ``RANGE_ROWS`` each,
+    so a group has ranges by its own size; ranges are scanned each on its own, and
+    what stands before a range comes from the ranges' sums. Without earlier rows
+    sums are 0 and maxima null. The rows are read several times, so they are
+    checkpointed first.
     """
-    df = cut_lineage(df)
-    shares = [i / PREFIX_BUCKETS for i in range(1, PREFIX_BUCKETS)]
-    edges = df.agg(F.percentile_approx(order, shares, 1000)).scalar()
-    bucketed = df.withColumn("_edges", edges).withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda edge: edge < F.col(order)))
-    ).drop("_edges")
     grouping = list(by) or ["_all"]
-    if not by:
-        bucketed = bucketed.withColumn("_all", F.lit(0))
-    inner = Window.partitionBy(*grouping, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = _with_offsets(bucketed, grouping, "_bucket", {t: F.sum(t) for t in totals})
-    for t in totals:
-        placed = placed.withColumn(
-            f"{t}_before", F.coalesce(F.sum(t).over(inner), F.lit(0)) + F.col(f"_{t}_offset")
-        ).drop(f"_{t}_offset")
-    return placed.drop("_bucket", "_all")
+    df = cut_lineage(df if by else df.withColumn("_all", F.lit(0)))
+    ranges = max(-(-df.count() // RANGE_ROWS), 1)
+    if ranges > 1:
+        df = cut_lineage(df.repartitionByRange(ranges, *grouping, order).withColumn("_range", F.spark_partition_id()))
+    else:
+        df = df.withColumn("_range", F.lit(0))
+    folds = [(f"{t}_before", F.sum(t), True) for t in totals] + [(f"{m}_before", F.max(m), False) for m in maxima]
+    whole = df.groupBy(*grouping, "_range").agg(*[agg.alias(f"_{name}") for name, agg, _ in folds])
+    earlier = Window.partitionBy(*grouping).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = whole.select(
+        *grouping, "_range", *[(F.sum if is_sum else F.max)(f"_{name}").over(earlier).alias(f"_{name}") for name, _, is_sum in folds]
+    )
+    inner = Window.partitionBy(*grouping, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.join(offsets, [*grouping, "_range"])
+    for name, agg, is_sum in folds:
+        here = agg.over(inner)
+        both = F.coalesce(here, F.lit(0)) + F.coalesce(f"_{name}", F.lit(0)) if is_sum else F.greatest(here, F.col(f"_{name}"))
+        placed = placed.withColumn(name, both)
+    return placed.drop("_range", "_all", *[f"_{name}" for name, _, _ in folds])
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int | str) -> DataFrame:

@@ -56,6 +56,51 @@ def test_prefix_sums_match_running_totals(spark):
     assert got == {(g, v): sum(n2 for g2, v2, n2 in rows if g2 == g and v2 < v) for g, v, _ in rows}
 
 
+def test_running_scan_with_one_group_of_nearly_all_rows(spark, monkeypatch):
+    """99 % in one group: its rows spread over many ranges, none of more than a few times the size asked for."""
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 50)
+    rng = random.Random(4)
+    rows = [("hot", float(v), rng.randrange(10), float(rng.randrange(1000))) for v in rng.sample(range(100_000), 1980)]
+    rows += [("cold", float(v), 1, float(v % 7)) for v in range(20)]
+    frame = spark.createDataFrame(rows, "g string, v double, n bigint, m double").repartition(5)
+    sizes = []
+    cut = ranking.cut_lineage
+
+    def noted(df):
+        out = cut(df)
+        if "_range" in df.columns:
+            sizes.extend(r["count"] for r in out.groupBy("_range").count().collect())
+        return out
+
+    monkeypatch.setattr(ranking, "cut_lineage", noted)
+    got = {(r["g"], r["v"]): (r["n_before"], r["m_before"], r["v_before"]) for r in ranking.prefix_sums(frame, ["g"], "v", ["n"], ["m", "v"]).collect()}
+    assert len(sizes) > 25 and max(sizes) <= 200
+    want, run = {}, {}
+    for g, v, n, m in sorted(rows):
+        before = run.get(g, (0, None, None))
+        want[g, v] = before
+        run[g] = (before[0] + n, m if before[1] is None else max(before[1], m), v)
+    assert got == want
+
+
+def test_feature_drift_equals_brute_force(spark):
+    from mandatewatch.operators.drift import feature_drift
+
+    rng = random.Random(6)
+    left = [(rng.gauss(0, 1), float(rng.randrange(4)), None) for _ in range(300)] + [(None, float("nan"), None)]
+    right = [(rng.gauss(0.4, 2), float(rng.randrange(5)), 1.0) for _ in range(170)]
+    schema = "a double, b double, c double"
+    got = {r["feature"]: r for r in feature_drift(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["a", "b", "c"]).collect()}
+    for k, name in enumerate("ab"):
+        one = sorted(r[k] for r in left if r[k] is not None and r[k] == r[k])
+        two = sorted(r[k] for r in right)
+        points = sorted(set(one + two))
+        apart = [abs(sum(x <= p for x in one) / len(one) - sum(x <= p for x in two) / len(two)) for p in points]
+        assert got[name]["n_left"] == len(one) and got[name]["ks"] == pytest.approx(max(apart))
+        assert got[name]["wasserstein"] == pytest.approx(sum(d * (q - p) for d, p, q in zip(apart, points, points[1:])))
+    assert (got["c"]["n_left"], got["c"]["n_right"], got["c"]["ks"], got["c"]["wasserstein"]) == (0, 170, None, None)
+
+
 def test_latest_write_wins(spark):
     rows = [(1, "old", 0), (1, "new", 1), (2, "only", 0)] + [(3, "copy", 0)] * 50
     frame = spark.createDataFrame(rows, "id bigint, v string, p int")
