@@ -2,6 +2,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from hand_sessions import all_sessions, row
 from mandatewatch import schemas
@@ -289,3 +290,52 @@ def test_append_reads_only_the_buckets_of_the_batch(spark, tmp_path):
     kept = rows.filter(own == 3).count()
     found = spark.read.schema("id bigint, v string").parquet(*map(str, pathlib.Path(out).glob("writer=*/batch=*/bucket=3")))
     assert kept > 0 and found.count() == kept
+
+
+def test_scores_before_after_and_never_across_restarts(spark, tmp_path):
+    """Each run goes on from the checkpoint: what waits there meets what comes later, and is dropped in time."""
+    from datetime import datetime, timedelta
+
+    from mandatewatch.streaming.scoring import latest_payloads, start_late_scoring
+
+    start = datetime(2026, 1, 1, 12)
+    sessions, scores, out, state = (str(tmp_path / x) for x in ("sessions", "scores", "out", "state"))
+    merchants = spark.createDataFrame([("cleartrip.com", 0.2)], "domain string, prob double")
+    kinds = StructType([*spark.createDataFrame([], schemas.SESSIONS).schema.fields, StructField("seen_at", TimestampType())])
+
+    def arrive(ids, minutes):
+        rows = [(*[{**row(0, True), "agent_id": i}.get(f.name) for f in kinds.fields[:-1]], start + timedelta(minutes=minutes)) for i in ids]
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(sessions)
+
+    def score(pairs, minutes):
+        rows = [(i, p, start + timedelta(minutes=minutes)) for i, p in pairs]
+        spark.createDataFrame(rows, "agent_id string, prob double, scored_at timestamp").coalesce(1).write.mode("append").parquet(scores)
+
+    def run():
+        query = start_late_scoring(
+            spark.readStream.schema(kinds).parquet(sessions),
+            spark.readStream.schema("agent_id string, prob double, scored_at timestamp").parquet(scores),
+            merchants, out, state, wait="30 minutes", delay="10 minutes",
+        )
+        query.awaitTermination()
+        last = {r["agent_id"]: r["payload"]["contributing_signals"]["lightgbm_prob"] for r in latest_payloads(spark.read.parquet(out)).collect()}
+        return last, sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"])
+
+    score([("early", 0.9)], -5)
+    arrive(["early", "late", "twice", "never"], 0)
+    last, held = run()
+    assert last == {"early": 0.9, "late": None, "twice": None, "never": None} and held >= 4
+    score([("late", 0.4), ("twice", 0.1)], 10)
+    assert run()[0] == {"early": 0.9, "late": 0.4, "twice": 0.1, "never": None}
+    score([("twice", 0.7)], 20)
+    assert run()[0]["twice"] == 0.7
+    # The day after: what has waited is dropped, and a score for it comes to nothing.
+    arrive(["next"], 24 * 60)
+    score([("other", 0.5)], 24 * 60)
+    run()
+    score([("never", 0.8)], 24 * 60 + 1)
+    last, held = run()
+    assert last["never"] is None and last["next"] is None and last["twice"] == 0.7 and held <= 3
+    payloads = spark.read.parquet(out).filter("agent_id = 'late'").orderBy("scored_at").collect()
+    assert [p["scored_at"] is None for p in payloads] == [True, False]
+    assert payloads[0]["payload"]["session_risk_score"] is None and payloads[1]["payload"]["session_risk_score"] == 0.4
