@@ -10,7 +10,7 @@ from mandatewatch import schemas
 from mandatewatch.functions import policy, text
 from mandatewatch.functions.vectors import cosine, semantic_divergence
 from mandatewatch.operators.phrase_match import content_scores
-from mandatewatch.operators.similar_names import ratio, typosquat_scores
+from mandatewatch.operators.similar_names import nearest_listed, ratio, ratio_bound, typosquat_scores
 from mandatewatch.operators.text_pairs import pair_divergence
 from mandatewatch.sources.fixed_values import REFERENCE_PHRASES
 from mandatewatch.sources.readers import reference_phrases
@@ -157,6 +157,20 @@ def test_typosquat_scores(spark):
     assert got == {1: pytest.approx(ratio("cleartrip.co", "cleartrip.com")), 2: 0.0, 3: got[1]}
 
 
+def test_nearest_listed_name_is_exact_and_skips_what_cannot_win(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcd.é") for _ in range(rng.randrange(0, 10))) for _ in range(60)]
+    assert all(ratio(a, b) <= ratio_bound(a, b) + 1e-12 for a in names for b in names)
+    rows = [(k, rng.choice(names), rng.sample(names, rng.randrange(0, 12))) for k in range(150)] + [(900, None, names), (901, "a", None), (902, "ab", [None, "ab", "b"])]
+    frame = spark.createDataFrame(rows, "k int, d string, a array<string>").repartition(3)
+    got = {r["k"]: r for r in nearest_listed(frame, "d", "a").collect()}
+    for k, name, listed in rows:
+        want = None if name is None or listed is None else max((ratio(name, x) for x in listed if x is not None), default=0.0)
+        assert got[k]["similarity"] == want
+    pairs = sum(len(set(a)) for _, d, a in rows if d is not None and a is not None)
+    assert sum(r["compared"] or 0 for r in got.values()) < 0.6 * pairs and got[902]["compared"] == 1
+
+
 def test_rendered_lists_and_hash(spark):
     frame = spark.createDataFrame([(["a", "b'c"],), ([],)], "v array<string>")
     got = [r[0] for r in frame.select(text.quoted_list(F.col("v"))).collect()]
