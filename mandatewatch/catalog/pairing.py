@@ -229,7 +229,7 @@ def appended_sessions(spark, sf_dir):
     rows = v.sessions(spark, sf_dir).select("agent_id", "subtlety", "injection_present")
     rows.filter("not injection_present").write.parquet(path)
     for _ in range(2):
-        writers.append_new(rows, spark.read.parquet(path), "agent_id", path)
+        writers.append_new(rows, "agent_id", path)
     return spark.read.parquet(path).select("agent_id", "subtlety")
 
 

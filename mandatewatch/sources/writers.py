@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType
 
 from mandatewatch.functions.scoring import payload_json
 from mandatewatch.functions.text import first_non_empty, quoted, quoted_list
+from mandatewatch.sources.keyed_table import not_stored
 
 
 def write_sessions_json(sessions: DataFrame, path: str) -> None:
@@ -43,9 +44,9 @@ def missing_rows(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
-def append_new(new: DataFrame, existing: DataFrame, key: str, path: str) -> None:
-    """Idempotent append: a rerun after a failure adds only what is missing."""
-    missing_rows(new, existing, key).write.mode("append").parquet(path)
+def append_new(new: DataFrame, key: str, path: str) -> None:
+    """Idempotent append: a rerun after a failure adds only what is missing. Only files that may hold a key are read."""
+    not_stored(new, key, path).write.mode("append").parquet(path)
 
 
 def write_joined(joined: DataFrame, path: str, csv: bool = False) -> None:

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
-
-# Buckets of a table that is appended to by id.
-ID_BUCKETS = 64
+from mandatewatch.sources.keyed_table import not_stored
 
 
 def start_deduplicated(
@@ -30,33 +27,24 @@ def start_deduplicated(
     )
 
 
-def start_append_by_id(
-    arriving: DataFrame, key: str, out: str, checkpoint: str, buckets: int = ID_BUCKETS
-) -> StreamingQuery:
+def start_append_by_id(arriving: DataFrame, key: str, out: str, checkpoint: str) -> StreamingQuery:
     """Without an event time: each batch adds the ids the table does not hold yet.
 
-    Rows lie in buckets by the hash of their id, and a batch reads only the
-    buckets its own ids fall in. Writers of one table must agree on ``buckets``.
+    A manifest beside the table says which files may hold an id, and a batch reads
+    only those.
 
     A batch writes to a folder of its own, named after the query's checkpoint and
     the batch number. A retried batch replaces that folder as a whole; a query
     that starts over with a new checkpoint finds the earlier rows and adds nothing.
     """
     writer = "w" + hashlib.md5(checkpoint.encode()).hexdigest()
-    stored_schema = StructType(arriving.schema.fields).add("writer", "string").add("batch", "long").add("bucket", "integer")
+    own = re.compile(rf"/writer={writer}/batch=(\d+)/")
 
     def add_missing(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        # At most as many numbers as there are buckets.
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
-        try:
-            stored = batch.sparkSession.read.schema(stored_schema).parquet(out).filter(F.col("bucket").isin(touched))
-            earlier = stored.filter((F.col("writer") != writer) | (F.col("batch") < batch_id))
-            new = new.join(earlier.select(key), key, "left_anti")
-        except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/writer={writer}/batch={batch_id}")
+        # What this batch wrote before it was retried does not count.
+        earlier = lambda file: not (m := own.search(file)) or int(m.group(1)) < batch_id
+        new = not_stored(batch, key, out, earlier)
+        new.write.mode("overwrite").parquet(f"{out}/writer={writer}/batch={batch_id}")
 
     return (
         arriving.writeStream.foreachBatch(add_missing)
