@@ -8,7 +8,7 @@ from mandatewatch.catalog import views as v
 from mandatewatch.catalog.registry import query
 from mandatewatch.functions.text import blended_divergence, lexical_divergence, word_set
 from mandatewatch.functions.vectors import cosine, semantic_divergence
-from mandatewatch.operators.chunking import recursive_chunks, window_chunks
+from mandatewatch.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, recursive_chunks, window_chunks
 from mandatewatch.operators.phrase_match import content_scores
 from mandatewatch.operators.text_pairs import pair_divergence
 
@@ -142,6 +142,48 @@ def fixed_chunks(spark, sf_dir):
     return chunks.select("doc_id", "pos", F.md5("text").alias("text_md5"))
 
 
-@query("recursive_chunks")
+def _sql_cut(level: int) -> str:
+    """Pieces of the texts of one level of the recursion, cut at the coarsest separator they hold."""
+    separator = "CASE s WHEN 0 THEN chr(10) || chr(10) WHEN 1 THEN chr(10) ELSE ' ' END"
+    return f"""
+    c{level} AS (
+      SELECT doc_id, path, body, CASE WHEN k <= 0 AND contains(body, chr(10) || chr(10)) THEN 0 WHEN k <= 1 AND contains(body, chr(10)) THEN 1
+                                      WHEN k <= 2 AND contains(body, ' ') THEN 2 ELSE 3 END AS s FROM t{level}),
+    l{level} AS (
+      SELECT doc_id, path, s, CASE WHEN s = 3 THEN regexp_extract_all(body, '(?s).')
+        ELSE list_filter(list_concat([string_split(body, {separator})[1]], list_transform(string_split(body, {separator})[2:], lambda x: {separator} || x)),
+                         lambda x: x <> '') END AS pieces FROM c{level}),
+    p{level} AS (
+      SELECT *, s < 3 AND length(piece) >= {CHUNK_SIZE} AS large,
+             SUM(CASE WHEN s < 3 AND length(piece) >= {CHUNK_SIZE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, path ORDER BY idx) AS run
+      FROM (SELECT doc_id, path, s, UNNEST(pieces) AS piece, generate_subscripts(pieces, 1) AS idx FROM l{level})),
+    t{level + 1} AS (SELECT doc_id, list_append(path, idx) AS path, piece AS body, s + 1 AS k FROM p{level} WHERE large)"""
+
+
+_SQL_CHUNKS = f"""
+    WITH RECURSIVE t0 AS (SELECT doc_id, CAST([] AS BIGINT[]) AS path, text AS body, 0 AS k FROM documents WHERE length(text) > 0),
+    {','.join(_sql_cut(level) for level in range(4))},
+    small AS ({' UNION ALL '.join(f'SELECT doc_id, path, run, idx, piece FROM p{level} WHERE NOT large' for level in range(4))}),
+    ends AS (SELECT *, SUM(length(piece)) OVER (PARTITION BY doc_id, path, run ORDER BY idx) AS stop FROM small),
+    runs AS MATERIALIZED (
+      SELECT doc_id, list_append(path, MIN(idx)) AS place, string_agg(piece, '' ORDER BY idx) AS body, list(CAST(stop AS BIGINT) ORDER BY idx) AS stops
+      FROM ends GROUP BY doc_id, path, run),
+    walk(doc_id, place, start, stop) AS (
+      SELECT doc_id, place, 0::BIGINT, list_max(list_filter(stops, lambda x: x <= {CHUNK_SIZE})) FROM runs
+      UNION ALL
+      SELECT doc_id, place, begins, list_max(list_filter(stops, lambda x: x <= begins + {CHUNK_SIZE})) FROM (
+        SELECT doc_id, place, stops, list_min(list_filter(list_concat([0], stops),
+                 lambda x: x >= stop - {CHUNK_OVERLAP} AND (x = stop OR (x < stop AND x >= beyond - {CHUNK_SIZE})))) AS begins
+        FROM (SELECT w.doc_id, w.place, w.stop, stops, list_min(list_filter(stops, lambda x: x > w.stop)) AS beyond
+              FROM walk w JOIN runs r ON w.doc_id = r.doc_id AND w.place = r.place WHERE w.stop < stops[-1]))),
+    cut AS (
+      SELECT w.doc_id, w.place, w.start, trim(substr(body, start + 1, stop - start), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text
+      FROM walk w JOIN runs r ON w.doc_id = r.doc_id AND w.place = r.place)
+    SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY place, start) - 1 AS pos, c.text
+    FROM cut c JOIN documents USING (doc_id) WHERE c.text <> ''
+"""
+
+
+@query("recursive_chunks", _SQL_CHUNKS)
 def separator_chunks(spark, sf_dir):
     return recursive_chunks(v.documents(spark, sf_dir, "doc_id", "source", "text"), "doc_id", "source", "text")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,46 +33,53 @@ def window_chunks(
     )
 
 
-def _pieces(text: str, separator: str) -> list[str]:
-    """Cut before each separator, which stays at the front of its piece."""
+def _runs(text: str, start: int, stop: int, size: int, separators: tuple[str, ...]) -> Iterator[np.ndarray]:
+    """Borders of neighbouring pieces that are packed together, in order.
+
+    A text is cut before each of the coarsest separator that it holds, which stays
+    at the front of its piece; a piece of ``size`` or more is cut further, by the
+    finer ones, and ends the run before it.
+    """
+    at = next((i for i, s in enumerate(separators) if not s or text.find(s, start, stop) >= 0), len(separators) - 1)
+    separator, finer = separators[at], separators[at + 1 :] if separators[at] else ()
     if not separator:
-        return list(text)
-    head, *tail = text.split(separator)
-    return [p for p in [head, *(separator + t for t in tail)] if p]
-
-
-def _packed(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
-    """Join neighbouring pieces up to ``size``, carrying up to ``overlap`` over."""
-    held: list[str] = []
-    length = 0
-    for piece in pieces:
-        if held and length + len(piece) > size:
-            yield "".join(held).strip()
-            while length > overlap or (length and length + len(piece) > size):
-                length -= len(held.pop(0))
-        held.append(piece)
-        length += len(piece)
-    if held:
-        yield "".join(held).strip()
+        yield np.arange(start, stop + 1)
+        return
+    cuts = [m.start() for m in re.compile(re.escape(separator)).finditer(text, start, stop)]
+    edges = np.unique(np.array([start, *cuts, stop], np.int64))
+    large = np.flatnonzero(np.diff(edges) >= size) if finer else ()
+    first = 0
+    for k in large:
+        if k > first:
+            yield edges[first : k + 1]
+        yield from _runs(text, int(edges[k]), int(edges[k + 1]), size, finer)
+        first = k + 1
+    if first < len(edges) - 1:
+        yield edges[first:]
+
+
+def _packed(edges: np.ndarray, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of chunks of whole pieces: as many as fit in ``size``, from at most ``overlap`` before the last one's end.
+
+    Borders are running lengths, so each chunk's end and the next one's start are
+    found by binary search, however many pieces lie between.
+    """
+    first, last = 0, len(edges) - 1
+    while True:
+        stop = max(int(np.searchsorted(edges, edges[first] + size, "right")) - 1, first + 1)
+        yield int(edges[first]), int(edges[stop])
+        if stop == last:
+            return
+        room = int(np.searchsorted(edges, edges[stop + 1] - size, "left"))
+        first = max(first, int(np.searchsorted(edges, edges[stop] - overlap, "left")), min(stop, room))
 
 
 def split_text(
     text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: tuple[str, ...] = SEPARATORS
 ) -> list[str]:
     """Chunks of at most ``size`` characters, cut at the coarsest separator that works."""
-    at = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
-    finer = separators[at + 1 :] if separators[at] else ()
-    chunks: list[str] = []
-    small: list[str] = []
-    for piece in _pieces(text, separators[at]):
-        if len(piece) < size or not finer:
-            small.append(piece)
-            continue
-        chunks.extend(_packed(small, size, overlap))
-        small = []
-        chunks.extend(split_text(piece, size, overlap, finer))
-    chunks.extend(_packed(small, size, overlap))
-    return [c for c in chunks if c]
+    spans = (span for run in _runs(text, 0, len(text), size, separators) for span in _packed(run, size, overlap)) if text else ()
+    return [c for a, b in spans if (c := text[a:b].strip())]
 
 
 def recursive_chunks(

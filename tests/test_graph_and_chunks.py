@@ -97,6 +97,54 @@ def test_recursive_chunks():
     assert set("".join(text.split())) == set("".join("".join(chunks).split()))
 
 
+def plain_split(text, size, overlap, separators=chunking.SEPARATORS):
+    """Piece by piece, with the held pieces in a list."""
+    at = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
+    finer = separators[at + 1 :] if separators[at] else ()
+    head, *tail = text.split(separators[at]) if separators[at] else (None,)
+    pieces = [p for p in [head, *(separators[at] + t for t in tail)] if p] if separators[at] else list(text)
+    out, small = [], []
+
+    def flush():
+        held = []
+        for piece in small:
+            if held and len("".join(held)) + len(piece) > size:
+                out.append("".join(held).strip())
+                while len("".join(held)) > overlap or (held and len("".join(held)) + len(piece) > size):
+                    held.pop(0)
+            held.append(piece)
+        if held:
+            out.append("".join(held).strip())
+        small.clear()
+
+    for piece in pieces:
+        if len(piece) < size or not finer:
+            small.append(piece)
+        else:
+            flush()
+            out.extend(plain_split(piece, size, overlap, finer))
+    flush()
+    return [c for c in out if c]
+
+
+def test_chunks_equal_the_piecewise_loop():
+    rng = random.Random(4)
+    for _ in range(400):
+        text = "".join(rng.choice(["word ", "line\n", "para\n\n", "x" * rng.randrange(1, 30), "é ", "\n\n\n", " "]) for _ in range(rng.randrange(0, 60)))
+        size = rng.randrange(2, 40)
+        overlap = rng.randrange(0, size)
+        assert chunking.split_text(text, size, overlap) == plain_split(text, size, overlap)
+
+
+def test_chunks_of_odd_and_long_texts():
+    assert chunking.split_text("\n\n \n" * 2000) == []
+    plain = "x" * 1_000_000
+    chunks = chunking.split_text(plain)
+    assert len(chunks) == 1250 and all(len(c) == 900 for c in chunks[:-1]) and sum(len(c) - 100 for c in chunks) + 100 == 1_000_000
+    words = "word " * 200_000
+    assert len(chunking.split_text(words)) == 1250
+
+
 def test_recursive_chunks_keep_source_and_order(spark):
     frame = spark.createDataFrame([(1, "s", "a b " * 500), (2, "t", ""), (3, "u", "tiny")], "id bigint, src string, body string")
     rows = chunking.recursive_chunks(frame, "id", "src", "body").orderBy("id", "pos").collect()
