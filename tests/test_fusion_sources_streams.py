@@ -188,6 +188,15 @@ def test_model_scores_in_the_stream_equal_batch(spark, tmp_path):
     assert all(p["contributing_signals"]["lightgbm_prob"] is not None for p in batch.values())
 
 
+def test_model_payload_scores_pinned_by_hand(spark):
+    """Five clean and five hijacked sessions, one tree: each side has gradient 2.5 and hessian 1.25, a leaf of 0.1 * 2, and odds of exp(0.2)."""
+    rows = all_sessions(spark)
+    scorer = training.session_model(plans.flatten(plans.with_signals(rows)), rounds=1)
+    merchants = spark.createDataFrame([("netflix.com", 0.2)], "domain string, prob double")
+    got = {r["agent_id"]: r["payload"]["contributing_signals"]["lightgbm_prob"] for r in fusion.model_payloads(rows, scorer, merchants).collect()}
+    assert got == {f"{kind}-{i}": p for kind, p in (("clean", 0.4502), ("hijacked", 0.5498)) for i in range(5)}
+
+
 @pytest.mark.parametrize("with_time", [True, False])
 def test_streamed_append_keeps_one_row_per_id(spark, tmp_path, with_time):
     frame = spark.range(40).select((F.col("id") % 10).alias("id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 10).alias("ts"))
