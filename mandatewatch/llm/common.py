@@ -9,7 +9,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mandatewatch.runtime import scratch_path
@@ -37,9 +37,33 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
+#: Links of a node that are followed before the others.
+DRAWN_LINKS = 3
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): for every id in ``edges`` (a, b), the smallest id it reaches.
 
+    A few links of each node, drawn by hash, connect most of any dense group. Of
+    the others only those between different groups are followed then, as links
+    of the groups, so a dense group's links are joined once and not in every round.
+    """
+    links = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    drawn = both.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")))
+    labels = _reached(drawn.filter(F.col("n") <= DRAWN_LINKS).select("a", "b"))
+    own = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
+    between = links.join(own("a"), "a").join(own("b"), "b").filter("of_a <> of_b")
+    between = written(between.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "between")
+    if between.isEmpty():
+        return labels
+    joined = _reached(between).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    return labels.join(joined, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+
+
+def _reached(edges: DataFrame) -> DataFrame:
+    """(id, component) by rounds over all edges.
+
     Each round takes the smallest label among the neighbours, then that label's
     own label, so chains halve. Joins run between written tables, whose hot keys
     adaptive execution can split.

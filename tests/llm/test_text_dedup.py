@@ -158,3 +158,15 @@ def test_components_of_chains_and_stars(spark):
     labels = {r.id: r.component for r in found.collect()}
     assert all(labels[k] == 0 for k in range(41)) and all(labels[k] == 100 for k in range(100, 130))
     assert labels[200] == 150 and common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_dense_groups_and_their_bridges(spark):
+    """Cliques of many links, joined by single ones that few draws meet, and stars."""
+    rng = random.Random(12)
+    edges = [(base + i, base + j) for base in (0, 100, 200, 300) for i in range(30) for j in range(i)]
+    edges += [(7, 115), (229, 301)] + [(500, k) for k in range(501, 560)] + [(k, k) for k in range(900, 905)]
+    edges += [(b, a) for a, b in rng.sample(edges, 50)]
+    rng.shuffle(edges)
+    got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    want = {i: 0 for base in (0, 100) for i in range(base, base + 30)} | {i: 200 for base in (200, 300) for i in range(base, base + 30)}
+    assert got == want | {k: 500 for k in range(500, 560)}
