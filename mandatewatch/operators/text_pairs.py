@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from mandatewatch.functions.text import SINGLE_SIDE_IDF, divergence_from_sums, terms
 
 
+#: Pairs whose terms one task counts: the number of tasks follows the number of pairs.
+PAIRS_PER_TASK = 1024
+
+
 def pair_divergence(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """``lexical_divergence`` per pair for texts of any length.
 
@@ -18,7 +22,8 @@ def pair_divergence(pairs: DataFrame, key: str, left: str, right: str) -> DataFr
         F.transform(terms(F.col(left)), lambda t: F.struct(t.alias("term"), F.lit(1).alias("l"), F.lit(0).alias("r"))),
         F.transform(terms(F.col(right)), lambda t: F.struct(t.alias("term"), F.lit(0).alias("l"), F.lit(1).alias("r"))),
     )
-    spread = pairs.repartition(key).select(key, F.explode_outer(tagged).alias("t"))
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    spread = pairs.repartition(max(-(-pairs.count() // PAIRS_PER_TASK), cores), key).select(key, F.explode_outer(tagged).alias("t"))
     counts = spread.groupBy(key, F.col("t.term").alias("term")).agg(F.sum("t.l").alias("l"), F.sum("t.r").alias("r"))
     l, r = F.col("l").cast("double"), F.col("r").cast("double")
     idf = F.when((l > 0) & (r > 0), F.lit(1.0)).otherwise(F.lit(SINGLE_SIDE_IDF))
