@@ -188,3 +188,24 @@ def test_viterbi_is_the_best_path(spark):
     for word in words:
         assert abs(sum(table[names[k]] for k in found[word]) - best(word)[0]) < 1e-9
         assert "".join(names[k] for k in found[word]) == word
+
+
+def test_words_are_cut_as_before_and_long_words_merge_alike():
+    """A scan of the pairs and the heap give the same boundaries; the library's ids for words of both kinds."""
+    assert piece_lattice.words_of("a  b\n\n c ") == ["▁a", "▁▁b", "\n", "\n", "▁c", "▁"] and piece_lattice.words_of(None) == []
+    edges = {PIECES.id_to_piece(k): (k, float(PIECES.get_score(k))) for k in range(PIECES.get_piece_size()) if not (PIECES.is_control(k) or PIECES.is_unknown(k) or PIECES.is_byte(k))}
+    rng = random.Random(8)
+    for length in (1, 2, 3, 9, 30, 48):
+        word = "▁" + "".join(rng.choice("abetins1é") for _ in range(length - 1))
+        assert piece_lattice.merge(word, edges, 16) == piece_lattice._merge_by_heap(word, edges)
+    known = piece_lattice.WordIds(piece_lattice.Pieces(edges, 16, PIECES.piece_to_id("<0x00>"), PIECES.unk_id(), ""), "merge", 1)
+    for word in ("information", "zz" * 400, "é中", "aaaaaaaaa"):
+        assert known["▁" + word] == PIECES.encode(word)
+    assert len(known) == 1
+
+
+def test_texts_are_encoded_without_rows_of_words(spark, docs):
+    """op2: disk: the plan has no row of a word; it had three exchanges of them."""
+    pieces = piece_lattice.Pieces.of(spark, piece_lattice.model_path())
+    plan = piece_lattice.digests(docs, pieces)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and plan.count("hashpartitioning") == 1
