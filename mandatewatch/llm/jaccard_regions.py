@@ -19,9 +19,11 @@ the regions pivots take over:
    window along the border, and the pairs are compared exactly.
 
 A histogram of each set, over hash buckets, bounds the similarity from above
-without the sets, so only near pairs ever become rows and are compared. Sets are
-worked out again from the texts of the documents that take part, and meet their
-pivot in a sorted stream; none is collected.
+without the sets, so only near pairs ever become rows and are compared. Pivots
+that share a region get a finer one: in a family of texts just below the
+threshold a coarse bound would let nearly all pairs through. Regions of the same
+cells are one. Sets are worked out again from the texts of the documents that
+take part, and meet their pivot in a sorted stream; none is collected.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ EMPTY_PARTS = 3
 #: Smallest hashes by which a node looks for a pivot.
 SKETCH = 3
 BUCKETS = 64
+#: Buckets of a pivot in a shared region, a multiple of the others.
+FINE_BUCKETS = 256
 #: Rows of one pivot that meet in one stream; a pivot with more gets several.
 STREAM_ROWS = 512
 #: Rows of a region, or of a host cell, that meet at a time.
@@ -107,6 +111,11 @@ def sketch(found: np.ndarray) -> list[int]:
     return [signed(int(mixed(found ^ np.uint64(k << 8)).min())) for k in range(1, SKETCH + 1)]
 
 
+def histogram(found: np.ndarray, buckets: int) -> np.ndarray:
+    """How many members of the set fall into each bucket."""
+    return np.bincount((found & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets).astype("i4")
+
+
 def described(own: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, text_id, n, node, keys, parts, histogram) per row: its set's size, id, sketch, regions and bucket counts."""
     arrow = pa.schema(
@@ -123,8 +132,7 @@ def described(own: DataFrame, n: int, percent: int) -> DataFrame:
                     if not size:
                         yield doc_id, text_id, 0, None, None, None, None
                         continue
-                    histogram = np.bincount((found & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-                    yield doc_id, text_id, size, set_id(found), sketch(found), part_ids(found, percent).view("i8"), histogram.astype("i4")
+                    yield doc_id, text_id, size, set_id(found), sketch(found), part_ids(found, percent).view("i8"), histogram(found, BUCKETS)
 
         yield from in_batches(rows(), arrow, 512)
 
@@ -151,6 +159,25 @@ class Nodes:
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("histogram").alias(f"histogram_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b")
 
+    def finer(self, taking: DataFrame) -> DataFrame:
+        """(cell, histogram) over ``FINE_BUCKETS`` of each ``cell``, from its pivot's text."""
+        few = only_ids(self.nodes.select(F.col("node").alias("cell"), "doc_id"), taking, "cell")
+        few = written(few, "finer-cells")
+        texts = only_ids(self.own, few.select("doc_id").distinct(), "doc_id").join(few, "doc_id").select("text", "cell")
+        n, arrow = self.n, pa.schema([("cell", pa.int64()), ("histogram", pa.list_(pa.int32()))])
+
+        def run(batches):
+            def rows():
+                for batch in batches:
+                    for found, cell in zip(shingles(batch.column(0).to_pylist(), n), batch.column(1).to_pylist(), strict=True):
+                        if set_id(found) == cell:  # a doc_id can stand for several rows
+                            yield cell, histogram(found, FINE_BUCKETS)
+
+            yield from in_batches(rows(), arrow, 1024)
+
+        found = texts.mapInArrow(run, "cell long, histogram array<int>")
+        return written(found.groupBy("cell").agg(F.first("histogram").alias("histogram")), "finer")
+
     def distances(self, pairs: DataFrame) -> DataFrame:
         """(a, b, shared, n_a, n_b) of distinct (a, b): b's set is sent to each stream of its partners."""
         sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / STREAM_ROWS).cast("int").alias("streams"))
@@ -221,25 +248,39 @@ def in_blocks(rows: DataFrame, key: str, item: str) -> DataFrame:
 
 
 def bounded_pairs(left: np.ndarray, right: np.ndarray, reach) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of ``left`` the rows of ``right`` that the histograms allow a similarity of ``reach(row)``."""
+    """For each row of ``left`` the rows of ``right`` that the histograms allow a similarity of ``reach(row)``.
+
+    Finer histograms decide where their sums over ``BUCKETS`` leave room.
+    """
     total_left, total_right = left.sum(1), right.sum(1)
-    for k, own in enumerate(left):
-        shared = np.minimum(own, right).sum(1)
-        yield k, np.flatnonzero(shared >= reach(k) * (total_left[k] + total_right - shared) - SLACK)
+    coarse_left, coarse_right = (h.reshape(len(h), -1, BUCKETS).sum(1) for h in (left, right))
+    for k in range(len(left)):
+        least = np.broadcast_to(reach(k), total_right.shape)
+        shared = np.minimum(coarse_left[k], coarse_right).sum(1)
+        near = np.flatnonzero(shared >= least * (total_left[k] + total_right - shared) - SLACK)
+        if left.shape[1] > BUCKETS and len(near):
+            shared = np.minimum(left[k], right[near]).sum(1)
+            near = near[shared >= least[near] * (total_left[k] + total_right[near] - shared) - SLACK]
+        yield k, near
 
 
 def shared_regions(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    """(region, cell, least, most): regions of several cells, with the sizes of each cell's sets there."""
+    """(region, cell, least, most): regions of several cells, with the sizes of each cell's sets there.
+
+    Near copies share most of their regions; those of the same cells are one, named by the hash of their cells.
+    """
     few = cells.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     cell_of = cells.select("node", "cell")
     placed = rows.select("node", "n", "parts").join(F.broadcast(cell_of) if few else cell_of, "node")
     shown = placed.select("cell", "n", F.explode("parts").alias("region"))
     several = shown.groupBy("region").agg(F.min("cell").alias("first"), F.max("cell").alias("last")).filter("first < last")
     shown = only_ids(shown, written(several.select("region"), "regions"), "region")
-    return written(shown.groupBy("region", "cell").agg(F.min("n").alias("least"), F.max("n").alias("most")), "held")
+    held = written(shown.groupBy("region", "cell").agg(F.min("n").alias("least"), F.max("n").alias("most")), "held")
+    alike = held.groupBy("region").agg(F.bit_xor(F.xxhash64("cell")).alias("cells"))
+    return written(held.join(alike, "region").groupBy(F.col("cells").alias("region"), "cell").agg(F.min("least").alias("least"), F.max("most").alias("most")), "alike")
 
 
-def facing_cells(held: DataFrame, wide: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, best: bool) -> DataFrame:
+def facing_cells(held: DataFrame, wide: DataFrame, finer: DataFrame, labels: DataFrame, percent: int, best: bool) -> DataFrame:
     """Distinct pairs (a, b) of cells, a < b, of one region and two components, whose bounds leave room for a link.
 
     Cells of a region meet in blocks; sizes, histograms of the pivots and radii
@@ -251,7 +292,7 @@ def facing_cells(held: DataFrame, wide: DataFrame, nodes: DataFrame, labels: Dat
     # Regions inside one component hold nothing new.
     mixed_ones = own.groupBy("region").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first < last")
     own = own.join(mixed_ones.select("region"), "region")
-    pivot = wide.join(nodes.select(F.col("node").alias("cell"), "histogram"), "cell")
+    pivot = wide.join(finer, "cell")
     own = written(own, "mixed-regions")
     pivot = only_ids(pivot, written(own.select("cell").distinct(), "mixed-cells"), "cell")
     met = in_blocks(own, "region", "cell").join(pivot, "cell")
@@ -355,6 +396,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     side = lambda x: wide.select(F.col("cell").alias(x), F.col("radius").alias(f"radius_{x}"))
     reach = F.lit(radius) + F.col("radius_a") + F.col("radius_b")
     held = shared_regions(taking, cells)
+    finer = meet.finer(written(held.select("cell").distinct(), "held-cells"))
 
     def told(facing: DataFrame) -> DataFrame:
         facing = written(facing.join(side("a"), "a").join(side("b"), "b"), "facing")
@@ -362,9 +404,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     # Likeliest partners first: they connect most of a dense group, and what is connected need not be compared.
     links = found.select("a", "b")
-    first = told(facing_cells(held, wide, nodes, components(links), percent, True))
+    first = told(facing_cells(held, wide, finer, components(links), percent, True))
     links = links.unionByName(first.filter(linked(percent)).select("a", "b"))
-    rest = facing_cells(held, wide, nodes, components(links), percent, False).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = facing_cells(held, wide, finer, components(links), percent, False).join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = told(rest)
     apart = first.unionByName(second)
     links = links.unionByName(second.filter(linked(percent)).select("a", "b"))

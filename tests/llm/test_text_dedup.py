@@ -47,6 +47,38 @@ def test_jaccard_chain_of_cells(spark, monkeypatch, block):
     assert collected(found, "doc_id", "n_shingles", "component_id") == brute_components(rows, 3, 90)
 
 
+def test_jaccard_family_below_the_threshold(spark, monkeypatch):
+    """Texts that share regions at a similarity of 0.857 are told apart by their histograms, and meet in few regions."""
+    rng, faced, held = random.Random(4), [], []
+    facing, regions = jaccard_regions.facing_cells, jaccard_regions.shared_regions
+
+    def count_facing(*args):
+        faced.append(common.written(facing(*args), "faced"))
+        return faced[-1]
+
+    def count_regions(*args):
+        held.append(regions(*args))
+        return held[-1]
+
+    monkeypatch.setattr(jaccard_regions, "facing_cells", count_facing)
+    monkeypatch.setattr(jaccard_regions, "shared_regions", count_regions)
+    base = [f"b{k}" for k in range(392)]
+    rows = []
+    for member in range(40):
+        text = list(base)
+        for at in range(1 + member, 380, 77):
+            text[at] = f"m{member}x{at}"
+        rows.append((member, " ".join(text)))
+    near = base[::-1]  # a pair of near copies
+    rows += [(50, " ".join(near)), (51, " ".join(near[:-1] + ["end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_regions.near_duplicates(df, 3, 90)
+    assert collected(found, "doc_id", "n_shingles", "component_id") == brute_components(rows, 3, 90)
+    assert faced[1].count() < 78  # of 780 pairs
+    first = held[0].groupBy("region").agg({"cell": "bit_xor"}).toDF("region", "cells")
+    assert first.count() == first.select("cells").distinct().count()
+
+
 def test_one_per_group_keeps_clean_rows(docs, rows):
     kept = jaccard_regions.one_per_group(docs, 5, 80)
     assert kept.columns == docs.columns
