@@ -20,7 +20,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heappop, heappush
-from itertools import accumulate
+from itertools import accumulate, chain
 from math import inf
 
 import public_tokenizers
@@ -30,12 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from mandatewatch.llm.common import written  # noqa: F401  (also read from here)
+from mandatewatch.llm.common import MEMO_ENTRIES, written  # noqa: F401  (also read from here)
 
 VOCABULARY = "piece_bpe_32k.model"
 BORDER = "▁"
-#: Words that a task remembers with their ids.
-FREQUENT = 65_536
+#: Words that a task remembers with their ids, about 100 MB; a word beyond them is merged wherever it stands.
+FREQUENT = MEMO_ENTRIES
 #: Letters up to which a word's pairs are scanned for the best; longer words keep them in a heap.
 SCANNED_LETTERS = 48
 #: Ids after which a task passes on its rows.
@@ -108,24 +108,25 @@ def merge(word: str, edges: dict[str, tuple[int, float]], longest: int) -> list[
     if len(word) > SCANNED_LETTERS:
         return _merge_by_heap(word, edges)
 
-    def cost(piece: str) -> float:
-        edge = edges.get(piece)
-        return -edge[1] if edge else inf
+    return [0, *accumulate(map(len, merged_parts(word, {p: -score for p, (_, score) in edges.items()})))]
 
-    parts = list(word)
-    costs = [cost(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+
+def merged_parts(word: str, cost_of: dict[str, float]) -> list[str]:
+    """The parts of a short word after all merges; of the pairs that are a piece, the one of least cost merges first."""
+    parts, get = list(word), cost_of.get
+    costs = [get(a + b, inf) for a, b in zip(parts, parts[1:], strict=False)]
     while costs:
         least = min(costs)
         if least == inf:
             break
         k = costs.index(least)
-        parts[k] += parts.pop(k + 1)
+        joined = parts[k] = parts[k] + parts.pop(k + 1)
         del costs[k]
         if k < len(costs):
-            costs[k] = cost(parts[k] + parts[k + 1])
+            costs[k] = get(joined + parts[k + 1], inf)
         if k:
-            costs[k - 1] = cost(parts[k - 1] + parts[k])
-    return [0, *accumulate(map(len, parts))]
+            costs[k - 1] = get(parts[k - 1] + joined, inf)
+    return parts
 
 
 def _merge_by_heap(word: str, edges: dict[str, tuple[int, float]]) -> list[int]:
@@ -168,20 +169,27 @@ class WordIds(dict):
     def __init__(self, pieces: Pieces, fold: str, limit: int):
         super().__init__()
         self.pieces, self.fold, self.limit = pieces, FOLDS[fold], limit
+        self.id_of = {p: k for p, (k, _) in pieces.edges.items()}
+        self.cost_of = {p: -score for p, (_, score) in pieces.edges.items()}
+
+    def parts(self, word: str) -> list[str]:
+        if self.fold is merge and len(word) <= SCANNED_LETTERS:
+            return merged_parts(word, self.cost_of)
+        bounds = self.fold(word, self.pieces.edges, self.pieces.longest)
+        return [word[start:stop] for start, stop in zip(bounds, bounds[1:], strict=False)]
 
     def __missing__(self, word: str) -> list[int]:
         p, out = self.pieces, []
-        bounds = self.fold(word, p.edges, p.longest)
-        for start, stop in zip(bounds, bounds[1:], strict=False):
-            edge = p.edges.get(word[start:stop])
-            if edge:
-                out.append(edge[0])
+        for part in self.parts(word):
+            known = self.id_of.get(part)
+            if known is not None:
+                out.append(known)
             elif p.first_byte == p.unknown:
                 out.append(p.unknown)
             else:
-                out += [p.first_byte + b for b in word[start:stop].encode()]
+                out += [p.first_byte + b for b in part.encode()]
         if len(self) < self.limit:
-            self[word] = out
+            self[word] = tuple(out)  # not followed by the garbage collector
         return out
 
 
@@ -218,10 +226,10 @@ def encoded_parts(docs: DataFrame, pieces: Pieces, fold: str = "merge") -> DataF
             first, texts = 0, batch.column("text")
             ids, ends, places, counts = [], [0], [], [0]
             for k in range(batch.num_rows):
-                for at, word in enumerate(words_of(texts[k].as_py())):
-                    ids += known[word]
-                    ends.append(len(ids))
-                    places.append(at)
+                found = [known[word] for word in words_of(texts[k].as_py())]
+                ends += accumulate(map(len, found), initial=ends.pop())
+                ids += chain.from_iterable(found)
+                places += range(len(found))
                 counts.append(len(places))
                 if len(ids) >= batch_ids or k == batch.num_rows - 1:
                     held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))

@@ -204,6 +204,17 @@ def test_words_are_cut_as_before_and_long_words_merge_alike():
     assert len(known) == 1
 
 
+def test_a_task_remembers_more_words_than_are_frequent():
+    """op2: CPU: in mixed texts most of the time went to words merged again and again."""
+    edges = {PIECES.id_to_piece(k): (k, float(PIECES.get_score(k))) for k in range(PIECES.get_piece_size()) if not (PIECES.is_control(k) or PIECES.is_unknown(k) or PIECES.is_byte(k))}
+    known = piece_lattice.WordIds(piece_lattice.Pieces(edges, 16, PIECES.piece_to_id("<0x00>"), PIECES.unk_id(), ""), "merge", piece_lattice.FREQUENT)
+    words = [f"w{k}" for k in range(70_000)]
+    for again in range(2):
+        assert all(list(known["▁" + w]) == PIECES.encode(w) for w in words[again::997])
+        assert [len(known["▁" + w]) > 0 for w in words].count(False) == 0
+    assert all("▁" + w in known for w in words)
+
+
 def test_texts_are_encoded_without_rows_of_words(spark, docs):
     """op2: disk: the plan has no row of a word; it had three exchanges of them."""
     pieces = piece_lattice.Pieces.of(spark, piece_lattice.model_path())
