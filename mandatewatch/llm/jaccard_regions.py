@@ -253,7 +253,7 @@ def bounded_pairs(left: np.ndarray, right: np.ndarray, reach) -> Iterator[tuple[
     Finer histograms decide where their sums over ``BUCKETS`` leave room.
     """
     total_left, total_right = left.sum(1), right.sum(1)
-    coarse_left, coarse_right = (h.reshape(len(h), -1, BUCKETS).sum(1) for h in (left, right))
+    coarse_left, coarse_right = (h.reshape(len(h), h.shape[1] // BUCKETS, BUCKETS).sum(1) for h in (left, right))
     for k in range(len(left)):
         least = np.broadcast_to(reach(k), total_right.shape)
         shared = np.minimum(coarse_left[k], coarse_right).sum(1)

@@ -79,6 +79,13 @@ def test_jaccard_family_below_the_threshold(spark, monkeypatch):
     assert first.count() == first.select("cells").distinct().count()
 
 
+def test_bounds_of_an_empty_block():
+    some, none = np.ones((2, jaccard_regions.FINE_BUCKETS), "i4"), np.empty((0, jaccard_regions.FINE_BUCKETS), "i4")
+    assert [len(near) for _, near in jaccard_regions.bounded_pairs(some, none, lambda _: 0.9)] == [0, 0]
+    assert not list(jaccard_regions.bounded_pairs(none, some, lambda _: 0.9))
+    assert [len(near) for _, near in jaccard_regions.bounded_pairs(some, some, lambda _: 0.9)] == [2, 2]
+
+
 def test_one_per_group_keeps_clean_rows(docs, rows):
     kept = jaccard_regions.one_per_group(docs, 5, 80)
     assert kept.columns == docs.columns
